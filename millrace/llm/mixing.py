@@ -77,7 +77,7 @@ def pareto_mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, max_copies=2, tilt
     order = Window.partitionBy("key").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     cut = last.filter(2.0 * F.col("ahead") + F.col("size") <= 2.0 * F.col("open")).groupBy("key").agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"))
-    edge = edge.join(cut, "key", "left").select("key", "bucket", "last", F.lit(True).alias("edged"))
+    edge = materialise(edge.join(cut, "key", "left").select("key", "bucket", "last", F.lit(True).alias("edged")), "mix-cut")
 
     ranked = ranked.join(edge, "key", "left")
     b = bucket(width)
