@@ -135,9 +135,17 @@ def identify(rows: DataFrame, weight: float = 150.0, least: float = 0.5, smooth:
     return out.withColumn("keep", (F.col("lang") != UNDETERMINED) & (F.col("posterior") >= least))
 
 
-def from_documents(docs: DataFrame) -> DataFrame:
+def from_documents(docs: DataFrame, id: Column | None = None) -> DataFrame:
     """Documents declare a language and name a source, which stands for the host."""
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").alias("declared"), F.col("source").cast("string").alias("host"))
+    return docs.select((F.col("doc_id").cast("long") if id is None else id).alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").alias("declared"), F.col("source").cast("string").alias("host"))
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns. Rows alike in what is judged are judged alike."""
+    same = F.xxhash64("doc_id", "text", "lang", "source")
+    judged = identify(from_documents(docs, same))
+    rejected = materialise(judged.filter(~F.col("keep")).select(F.col("id").alias("__rejected")).distinct(), "langid-rejected")
+    return docs.join(rejected, same == F.col("__rejected"), "left_anti")
 
 
 def from_pages(pages: DataFrame) -> DataFrame:

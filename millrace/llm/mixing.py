@@ -27,64 +27,95 @@ LEVELS = (256, 256**2, 256**3)
 
 def source_targets(sized: DataFrame, weights=(5, 2, 1), share=1.5, max_copies=2) -> DataFrame:
     """One row per source: key, source_size, target and the sums for p. As many rows as sources."""
-    per = sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("x")).alias("sx"), F.max(F.col("source").isNull()).alias("last"))
-    by_name, every = Window.orderBy("last", "key"), Window.partitionBy()
+    per = sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("x")).alias("sx"), F.max(F.col("source").isNull()).alias("null_last"))
+    by_name, every = Window.orderBy("null_last", "key"), Window.partitionBy()
     n = F.row_number().over(by_name) - 1
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (n % len(weights)) + 1)
     per = per.withColumn("w", w).withColumn("cap", F.lit(float(max_copies)) * F.col("source_size"))
-    before = Window.orderBy(F.col("cap") / F.col("w"), "last", "key").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("cap") / F.col("w"), "null_last", "key").rowsBetween(Window.unboundedPreceding, -1)
     level = (F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     per = per.withColumn("level", level)
     return per.select("key", "source_size", F.least("cap", F.col("w") * F.max("level").over(every)).alias("target"), "sx")
 
 
-def pareto_mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, max_copies=2, tilt=0.5, half_size=200, seed="mix") -> DataFrame:
-    """Copies per document so that each source's words come near its target.
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("key", F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.col("source").cast("string"))))
 
-    weights: by sources in code-point order, repeating. share: words of the mix over all words.
-    max_copies: bounds a source's target over its size, and so the copies of any document.
-    Returns doc_id, source, size, source_size, target, copies, taken, one row per input row.
-    """
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    sized = sized.withColumn("key", F.coalesce("source", F.lit(""))).withColumn("key", F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), "key")))
-    sized = materialise(sized.withColumn("x", F.floor(1024 * F.col("size") / (F.col("size") + half_size)).cast("long")), "mix-sizes")
-    per = source_targets(sized, weights, share, max_copies)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.nullif(F.col("source_size"), F.lit(0))).otherwise(F.lit(0.0))
-    per = per.withColumn("whole", F.floor(rate)).withColumn("rest", rate - F.col("whole"))
-    per = per.withColumn("mean_x", F.coalesce(F.col("sx") / F.nullif(1024.0 * F.col("source_size"), F.lit(0.0)), F.lit(0.0)))
-    per = materialise(per.withColumn("open", F.col("target") - F.col("whole") * F.col("source_size")).drop("sx"), "mix-targets")
 
+def _ranked(sized: DataFrame, per: DataFrame, tilt: float, half_size: int, seed: str) -> DataFrame:
+    """Adds rank (null where nothing is left to chance) and y, the rank brought into (0, 1)."""
     digits = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / float(2**52)
-    p = F.col("rest") + F.least("rest", 1.0 - F.col("rest")) * tilt * (F.col("x") / 1024.0 - F.col("mean_x"))
+    p = F.col("rest") + F.least("rest", 1.0 - F.col("rest")) * tilt * (_x(half_size) / 1024.0 - F.col("mean_x"))
     ranked = sized.join(per, "key").withColumn("u", u).withColumn("p", p)
     odds = (F.col("u") / (1.0 - F.col("u"))) / (F.col("p") / (1.0 - F.col("p")))
     ranked = ranked.withColumn("rank", F.when((F.col("p") > 0) & (F.col("p") < 1), odds))
-    ranked = ranked.withColumn("y", F.col("rank") / (1.0 + F.col("rank")))
+    return ranked.withColumn("y", F.col("rank") / (1.0 + F.col("rank")))
+
+
+def _x(half_size: int):
+    return F.floor(1024 * F.col("size") / (F.col("size") + half_size)).cast("long")
+
+
+def _bucket(n: int):
+    return F.least(F.floor(F.col("y") * n), F.lit(n - 1)).cast("long")
+
 
+def mixing_plan(sized: DataFrame, weights=(5, 2, 1), share=1.5, max_copies=2, tilt=0.5, half_size=200, seed="mix") -> DataFrame:
+    """Per source its target and its cut, from doc_id, source, key and size."""
+    per = source_targets(sized.withColumn("x", _x(half_size)), weights, share, max_copies)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.nullif(F.col("source_size"), F.lit(0))).otherwise(F.lit(0.0))
+    per = per.withColumn("whole", F.floor(rate)).withColumn("rest", rate - F.col("whole"))
+    per = per.withColumn("mean_x", F.coalesce(F.col("sx") / F.nullif(1024.0 * F.col("source_size"), F.lit(0.0)), F.lit(0.0)))
+    per = materialise(per.withColumn("open", F.col("target") - F.col("whole") * F.col("source_size")).drop("sx"), "mix-targets")
     # The cut: `edge` has, per source, the bucket in which it lies and the words of the buckets before it.
     edge = per.select("key", "open", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("before"))
-    inside, width = ranked.filter("rank is not null").select("key", "doc_id", "size", "rank", "y"), 1
-    bucket = lambda n: F.least(F.floor(F.col("y") * n), F.lit(n - 1)).cast("long")
+    inside, width = _ranked(sized, per, tilt, half_size, seed).filter("rank is not null").select("key", "doc_id", "size", "rank", "y"), 1
     for n in LEVELS:
-        at = inside.join(edge, "key").filter(bucket(width) == F.col("bucket"))
-        sums = at.groupBy("key", bucket(n).alias("b")).agg(F.sum("size").alias("words"), F.first("before").alias("base"), F.first("open").alias("open"))
+        at = inside.join(edge, "key").filter(_bucket(width) == F.col("bucket"))
+        sums = at.groupBy("key", _bucket(n).alias("b")).agg(F.sum("size").alias("words"), F.first("before").alias("base"), F.first("open").alias("open"))
         upto = F.col("base") + F.sum("words").over(Window.partitionBy("key").orderBy("b"))
         sums = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
         edge = materialise(sums.filter("before <= open and open < upto").select("key", "open", F.col("b").alias("bucket"), "before"), "mix-edge")
         width = n
-    last = inside.join(edge, "key").filter(bucket(width) == F.col("bucket"))
+    last = inside.join(edge, "key").filter(_bucket(width) == F.col("bucket"))
     order = Window.partitionBy("key").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     cut = last.filter(2.0 * F.col("ahead") + F.col("size") <= 2.0 * F.col("open")).groupBy("key").agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"))
-    edge = materialise(edge.join(cut, "key", "left").select("key", "bucket", "last", F.lit(True).alias("edged")), "mix-cut")
+    edge = edge.join(cut, "key", "left").select("key", "bucket", "last", F.lit(True).alias("edged"))
+    return materialise(per.join(edge, "key", "left"), "mix-plan")
+
 
-    ranked = ranked.join(edge, "key", "left")
-    b = bucket(width)
+def with_copies(sized: DataFrame, plan: DataFrame, tilt=0.5, half_size=200, seed="mix") -> DataFrame:
+    """Adds the plan's columns and `copies` to rows that have doc_id, key and size."""
+    ranked, b = _ranked(sized, plan, tilt, half_size, seed), _bucket(LEVELS[-1])
     taken = F.when(F.col("rank").isNull(), False).when(F.col("edged").isNull(), F.col("open") > 0).when(b != F.col("bucket"), b < F.col("bucket"))
     taken = F.coalesce(taken.otherwise(F.struct("rank", "doc_id", "size") <= F.col("last")), F.lit(False))
-    copies = F.col("whole") + taken.cast("long")
-    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return ranked.withColumn("copies", F.col("whole") + taken.cast("long"))
+
+
+def pareto_mix(docs: DataFrame, **options) -> DataFrame:
+    """Copies per document so that each source's words come near its target.
+
+    Options as in mixing_plan: weights by sources in code-point order, repeating; share, words of
+    the mix over all words; max_copies bounds a source's target over its size, and so the copies of
+    any document. Returns doc_id, source, size, source_size, target, copies, taken, one row per input row.
+    """
+    sized = materialise(_keyed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))), "mix-sizes")
+    chance = {k: v for k, v in options.items() if k in ("tilt", "half_size", "seed")}
+    got = with_copies(sized, mixing_plan(sized, **options), **chance)
+    return got.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The mix itself: each row of docs as many times as it has copies, with the columns of docs."""
+    own = docs.columns
+    plain = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in own]).alias("whole_row"))
+    sized = materialise(_keyed(plain.select("doc_id", "source", word_count(F.col("text")).alias("size"))), "mix-sizes")
+    plan = mixing_plan(sized)
+    rows = _keyed(plain.select("doc_id", "source", "whole_row", word_count(F.col("text")).alias("size")))
+    got = with_copies(rows, plan).filter("copies > 0").select("whole_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return got.select(*[F.col("whole_row").getField(c).alias(c) for c in own])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,6 +239,20 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(lambda it: _evidence(it, model), f"doc_id long, n_words long, evidence double, passages {PASSAGE}, score double")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                fine.append(model.score(len(words), *model.segments(words)) < threshold)
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def train_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     return fit(docs, table(spark, sf_dir, "labels").filter(id_residue(F.col("doc_id"), 5) != 0))
 
