@@ -4,18 +4,19 @@ A document's tokens are the distinct five-word shingles of its whole text, as 64
 documents link when 100 * common >= 80 * united; the result is the connected components.
 
 1. Documents with equal sets are one class (128-bit digest of the set); only classes go on.
-2. Prefix filter: in any fixed order of tokens, linked sets of sizes a, b share one of the first
-   a - ceil(0.8 a) + 1 and b - ceil(0.8 b) + 1. The order is by hash, but tokens of many prefixes
-   (a bitmap of fixed size, filled from counts over all classes) come last, so that passages shared
-   by unlike documents don't select. Tokens of one class only are dropped by a grouped count.
-3. Groups: per shared token the smallest class leads; each class is compared with its leaders, and
-   components of these links are the groups of similar documents. Thousands of near copies end
-   in one group after a few comparisons each.
-4. Token-group matrix: the distinct (token, group) rows of prefixes. A class whose token also stands in
-   another group's row is a candidate for that group (the smaller group's classes are asked, which is
+2. Prefixes: in any fixed order of tokens, linked sets of sizes a and b share at least min(k(a), k(b))
+   of the first a - ceil(0.8 a) + k(a) and b - ceil(0.8 b) + k(b) tokens; k is a tenth of the size.
+   The order is by hash, but tokens of many prefixes (a bitmap of fixed size, filled from counts over
+   all classes) come last, so that passages shared by unlike documents don't select. Tokens of one
+   class only are dropped by a grouped count, and classes left with too few tokens to link.
+3. Groups: per shared token the smallest class leads; each class is compared with leaders with which
+   it shares enough, and components of these links are the groups of similar documents.
+   Thousands of near copies end in one group after a few comparisons each.
+4. Token-group matrix: the distinct (token, group) rows of prefixes. A class with min k tokens in another
+   group's rows is a candidate for that group (the smaller group's classes are asked, which is
    enough). Groups are stored in blocks with the union of their members' tokens; a block is opened
    only for candidates that have ceil(0.8 a) tokens in the union, and members are compared by
-   intersection. Any link between two groups has a common prefix token, so none is lost.
+   intersection. Any link between two groups shares that many prefix tokens, so none is lost.
 5. Components over all links, by alternating large- and small-star rounds, each written out.
 
 Blocks hold at most `block` members and candidates, however large a group is; all counts are
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, table
+from millrace.llm.common import materialise, release, table
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
@@ -73,6 +74,16 @@ def least_common(n: int) -> int:
     return -(-NUMERATOR * n // DENOMINATOR)
 
 
+def spare(n: int) -> int:
+    """k(n): prefix tokens that two linked sets of this size share at least."""
+    return 1 + n // 10
+
+
+def spare_needed(n):
+    """Prefix tokens that a set shares with any linked one, whose size is at least ceil(0.8 n): a column."""
+    return 1 + F.floor(F.ceil(n * NUMERATOR / DENOMINATOR) / 10)
+
+
 def _key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -86,7 +97,7 @@ def is_hot(tokens: np.ndarray, bitmap: np.ndarray | None) -> np.ndarray:
 
 def prefix(tokens: np.ndarray, bitmap: np.ndarray | None = None) -> np.ndarray:
     """The first tokens in the order (hot, hash)."""
-    n = len(tokens) - least_common(len(tokens)) + 1 if len(tokens) else 0
+    n = len(tokens) - least_common(len(tokens)) + spare(len(tokens)) if len(tokens) else 0
     hot = is_hot(tokens, bitmap)
     return np.concatenate([tokens[~hot][:n], tokens[hot][: max(0, n - int((~hot).sum()))]]) if hot.any() else tokens[:n]
 
@@ -197,47 +208,61 @@ def components(links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = materialise(docs.mapInArrow(_first, "doc_id long, n long, key binary, prefix array<long>"), "jac-first")
+    wide = materialise(docs.mapInArrow(_first, "doc_id long, n long, key binary, prefix array<long>"), "jac-wide")
+    first = materialise(wide.drop("prefix"), "jac-first")
     nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("key"), F.lit(1 << 61))
-    classes = first.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("d"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = wide.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("d"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = materialise(classes.select("key", F.coalesce("d", nameless).alias("rep"), "n", "prefix"), "jac-classes")
+    release(wide)
 
     hot = classes.select(F.explode("prefix").alias("t")).groupBy("t").count().filter(F.col("count") > HOT)
     bitmap = bitmap_of(hot.select(F.col("t").bitwiseAND(BITS - 1).cast("int").alias("at")))
     if bitmap.any():
         new = docs.mapInArrow(lambda it: _again(it, bitmap), "key binary, prefix array<long>").groupBy("key").agg(F.first("prefix").alias("new"))
-        classes = classes.join(new, "key", "left").select("key", "rep", "n", F.coalesce("new", "prefix").alias("prefix"))
+        first_classes = classes
+        classes = materialise(classes.join(new, "key", "left").select("key", "rep", "n", F.coalesce("new", "prefix").alias("prefix")), "jac-ordered")
+        release(first_classes)
     post = classes.select("rep", "n", F.explode("prefix").alias("t"))
-    shared = post.groupBy("t").agg(F.count("*").alias("c"), F.min("rep").alias("lead"), F.min_by("n", "rep").alias("lead_n")).filter("c > 1").drop("c")
-    post = materialise(post.join(shared, "t"), "jac-postings")
+    shared = post.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    post = materialise(post.join(shared, "t"), "jac-shared")
+    named = materialise(classes.select("key", "rep"), "jac-named")
+    release(classes)
+    able = post.groupBy("rep").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= spare_needed(F.col("n"))).select("rep")
+    able = materialise(able, "jac-able")
+    lead = post.join(able, "rep").groupBy("t").agg(F.min_by(F.struct("rep", "n"), "rep").alias("l"), F.count("*").alias("c")).filter("c > 1")
+    lead = lead.select("t", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"))
+    posted = materialise(post.join(able, "rep").join(lead, "t"), "jac-postings")
+    release(post)
 
     little = F.concat(*[F.substring(F.hex("key"), k, 2) for k in (7, 5, 3, 1)])
-    needed = classes.select("key", "rep").join(post.select("rep").distinct(), "rep")
+    needed = named.join(able, "rep")
     needed = materialise(needed.withColumn("at", F.conv(little, 16, 10).cast("long").bitwiseAND(BITS - 1).cast("int")), "jac-needed")
     wanted = bitmap_of(needed.select("at"))
     own = docs.mapInArrow(lambda it: _sets(it, wanted), "doc_id long, key binary, tokens binary")
     own = own.join(needed.select("key", "rep"), "key").filter(F.col("doc_id").eqNullSafe(F.col("rep")) | (F.col("rep") >= NAMELESS))
-    sets = materialise(own.dropDuplicates(["key"]).select("rep", "tokens"), "jac-sets")
+    sets = materialise(own.groupBy("key").agg(F.first("rep").alias("rep"), F.first("tokens").alias("tokens")).select("rep", "tokens"), "jac-sets")
 
     near = lambda a, b: NUMERATOR * F.greatest(a, b) <= DENOMINATOR * F.least(a, b)
-    pairs = post.filter((F.col("rep") != F.col("lead")) & near("n", "lead_n")).select("rep", F.col("lead").alias("g")).distinct()
+    pairs = posted.filter((F.col("rep") != F.col("lead")) & near("n", "lead_n")).groupBy("rep", F.col("lead").alias("g")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    pairs = materialise(pairs.filter(F.col("c") >= spare_needed(F.col("n"))).select("rep", "g"), "jac-pairs")
     links = materialise(open_groups(pairs, pairs.select(F.col("g").alias("rep"), "g").distinct(), sets), "jac-links")
     groups = components(links)
 
-    post = post.select("rep", "t").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("t", "rep", F.coalesce("comp", "rep").alias("g"))
+    post = posted.select("rep", "n", "t").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("t", "rep", "n", F.coalesce("comp", "rep").alias("g"))
     mixed = post.groupBy("t").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("t")
-    post = materialise(post.join(mixed, "t"), "jac-mixed")
     sizes = groups.groupBy(F.col("comp").alias("g")).agg(F.count("*").alias("members"))
-    post = post.join(sizes, "g", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    post = materialise(post.join(mixed, "t").join(sizes, "g", "left").withColumn("members", F.coalesce("members", F.lit(1))), "jac-mixed")
+    release(posted)
     matrix = post.select("t", "g", "members").distinct()
-    mine = post.select("t", "rep", F.col("g").alias("own"), F.col("members").alias("own_members"))
-    asked = mine.join(matrix, "t").filter(F.struct("own_members", "own") < F.struct("members", "g")).select("rep", "g").distinct()
-    asked = materialise(asked, "jac-asked")
+    mine = post.select("t", "rep", "n", F.col("g").alias("own"), F.col("members").alias("own_members"))
+    asked = mine.join(matrix, "t").filter(F.struct("own_members", "own") < F.struct("members", "g")).groupBy("rep", "g").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    asked = materialise(asked.filter(F.col("c") >= spare_needed(F.col("n"))).select("rep", "g"), "jac-asked")
     wide = asked.select("g").distinct().join(groups.withColumnRenamed("comp", "g"), "g", "left").select("g", F.coalesce("node", "g").alias("rep"))
-    more = open_groups(asked, wide, sets)
+    more = materialise(open_groups(asked, wide, sets), "jac-more")
+    release(sets, post)
     final = components(links.union(more))
-    by_key = classes.select("key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
-    out = first.drop("prefix").join(by_key, "key", "left")
+    by_key = named.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
+    out = first.join(by_key, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp") < NAMELESS, F.col("comp")).when(F.col("comp").isNull(), F.col("doc_id")).alias("component_id"))
 
 
