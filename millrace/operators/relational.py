@@ -1,24 +1,17 @@
-"""Relational queries: scan, filter, join, aggregate, window, sort and set operators."""
+"""Relational queries: scan, filter, join, aggregate, window, sort and set operators.
+
+Definitions are this library's own. Ranked queries break ties by a unique column.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.registering import Queries
 from millrace.sources.tables import table
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None):
-    def register(f):
-        QUERIES[f"base_{f.__name__}"] = f
-        if sql is not None:
-            SQL[f"base_{f.__name__}"] = sql
-        return f
-
-    return register
+query = Queries()
 
 
 @query("""
@@ -29,3 +22,175 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
     joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     per = joined.groupBy("c_nationkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
     return per.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.round(F.sum("revenue"), 2).alias("revenue"))
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n,
+  round(stddev_samp(l_quantity), 6) AS sd, median(l_quantity) AS med, count(DISTINCT l_partkey) AS parts
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL
+""")
+def pricing_summary(spark, d):
+    rows = table(spark, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"), F.round(F.stddev_samp("l_quantity"), 6).alias("sd"), F.median("l_quantity").alias("med"), F.count_distinct("l_partkey").alias("parts"))
+
+
+@query("SELECT l_orderkey, l_quantity, l_extendedprice FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24 AND l_returnflag IN ('A', 'R')")
+def filtered_scan(spark, d):
+    return table(spark, d, "lineitem").filter(F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24) & F.col("l_returnflag").isin("A", "R")).select("l_orderkey", "l_quantity", "l_extendedprice")
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band, round(c_acctbal)::INT AS whole FROM customer WHERE c_name LIKE '%1'")
+def projection_case_cast(spark, d):
+    band = F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") < 5000, "low").otherwise("high")
+    return table(spark, d, "customer").filter(F.col("c_name").like("%1")).select("c_custkey", "c_name", band.alias("band"), F.round("c_acctbal").cast("int").alias("whole"))
+
+
+def _joined(how):
+    def run(spark, d):
+        o = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey")
+        c = table(spark, d, "customer").filter("c_custkey % 2 = 0").select("c_custkey", "c_name")
+        return c.join(o, F.col("c_custkey") == F.col("o_custkey"), how)
+
+    return run
+
+
+for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
+    query.queries[f"base_join_{_how}"] = _joined(_how)
+    query.sql[f"base_join_{_how}"] = f"SELECT c_custkey, c_name, o_orderkey, o_custkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) {_sql} (SELECT * FROM orders WHERE o_orderkey % 3 = 0) ON c_custkey = o_custkey"
+for _how, _not in (("left_semi", ""), ("left_anti", "NOT ")):
+    query.queries[f"base_join_{_how}"] = _joined(_how)
+    query.sql[f"base_join_{_how}"] = f"SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 AND {_not}EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0)"
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), c AS (SELECT user_id, ts, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY ALL)
+SELECT e.event_id, c.click_id, c.ts AS click_ts FROM e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts
+""")
+def join_as_of(spark, d):
+    """Each view's last click by the same user at or before it: one pass over a union ordered by time."""
+    e = table(spark, d, "events")
+    views = e.filter("event_type = 'view'").select("user_id", "ts", "event_id", F.lit(None).cast("long").alias("click_id"))
+    clicks = e.filter("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("event_id").alias("click_id")).select("user_id", "ts", F.lit(None).cast("long").alias("event_id"), "click_id")
+    click = F.when(F.col("click_id").isNotNull(), F.struct("click_id", "ts"))
+    w = Window.partitionBy("user_id").orderBy("ts", F.col("click_id").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return views.union(clicks).withColumn("c", F.last(click, ignorenulls=True).over(w)).filter("event_id is not null").select("event_id", F.col("c.click_id").alias("click_id"), F.col("c.ts").alias("click_ts"))
+
+
+@query("""
+SELECT a.event_id AS click, b.event_id AS purchase FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase'
+  AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 DAY
+""")
+def join_interval(spark, d):
+    e = table(spark, d, "events")
+    a, b = e.filter("event_type = 'click'").alias("a"), e.filter("event_type = 'purchase'").alias("b")
+    near = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("b.ts") > F.col("a.ts")) & (F.col("b.ts") <= F.col("a.ts") + F.expr("interval 1 day"))
+    return a.join(b, near).select(F.col("a.event_id").alias("click"), F.col("b.event_id").alias("purchase"))
+
+
+@query("SELECT s_suppkey, p_partkey FROM supplier JOIN part ON p_retailprice BETWEEN abs(s_acctbal) - 5 AND abs(s_acctbal) + 5")
+def join_range(spark, d):
+    """A band join as an equi-join on buckets of the band's width, then the exact condition."""
+    width = 10.0
+    s = table(spark, d, "supplier").select("s_suppkey", F.abs("s_acctbal").alias("x"))
+    s = s.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("x") - 5) / width), F.floor((F.col("x") + 5) / width))))
+    p = table(spark, d, "part").select("p_partkey", "p_retailprice", F.floor(F.col("p_retailprice") / width).alias("bucket"))
+    return s.join(p, "bucket").filter(F.col("p_retailprice").between(F.col("x") - 5, F.col("x") + 5)).select("s_suppkey", "p_partkey")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
+def top_per_group(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, d, "orders").withColumn("r", F.row_number().over(w)).filter("r <= 2").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, count(*) AS n, (grouping(l_returnflag) * 2 + grouping(l_linestatus))::BIGINT AS gid FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n"), F.grouping_id().alias("gid"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def rollup(spark, d):
+    return table(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
+def grouping_sets(spark, d):
+    o = table(spark, d, "orders")
+    return o.groupingSets([[o.o_orderstatus], [o.o_orderpriority]], o.o_orderstatus, o.o_orderpriority).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id")
+def pivot(spark, d):
+    return table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count("event_id")).fillna(0, ["click", "view"])
+
+
+@query("SELECT p_partkey, unnest(['size', 'price']) AS name, unnest([p_size::DOUBLE, p_retailprice]) AS value FROM part")
+def unpivot(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price")).unpivot("p_partkey", ["size", "price"], "name", "value")
+
+
+@query("""
+SELECT o_orderkey, rank() OVER w AS rnk, dense_rank() OVER w AS dense, row_number() OVER u AS rn, ntile(4) OVER u AS quarter, round(percent_rank() OVER w, 9) AS pct, round(cume_dist() OVER w, 9) AS cume,
+  lag(o_orderkey) OVER u AS before, lead(o_orderkey) OVER u AS after, first_value(o_orderkey) OVER u AS first, nth_value(o_orderkey, 2) OVER u AS second FROM orders
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate), u AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+""")
+def window_functions(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate")
+    u = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    k = "o_orderkey"
+    return table(spark, d, "orders").select(k, F.rank().over(w).alias("rnk"), F.dense_rank().over(w).alias("dense"), F.row_number().over(u).alias("rn"), F.ntile(4).over(u).alias("quarter"), F.round(F.percent_rank().over(w), 9).alias("pct"), F.round(F.cume_dist().over(w), 9).alias("cume"), F.lag(k).over(u).alias("before"), F.lead(k).over(u).alias("after"), F.first(k).over(u).alias("first"), F.nth_value(k, 2).over(u).alias("second"))
+
+
+@query("""
+SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS in_hour,
+  round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS last3 FROM events
+""")
+def window_frames(spark, d):
+    e = table(spark, d, "events")
+    hour = F.expr("count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row)")
+    rows = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 0)
+    return e.select("event_id", hour.alias("in_hour"), F.round(F.sum("value").over(rows), 6).alias("last3"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 5")
+def top_k(spark, d):
+    return table(spark, d, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").offset(5).limit(20)
+
+
+for _name, _op in (("union_all", "UNION ALL"), ("union", "UNION"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
+
+    def _set(spark, d, name=_name):
+        c, s = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+        return {"union_all": lambda: c.union(s), "union": lambda: c.union(s).distinct(), "intersect": lambda: c.intersect(s), "intersect_all": lambda: c.intersectAll(s), "except": lambda: c.subtract(s), "except_all": lambda: c.exceptAll(s)}[name]()
+
+    query.queries[f"base_set_{_name}"] = _set
+    query.sql[f"base_set_{_name}"] = f"SELECT c_nationkey AS k FROM customer {_op} SELECT s_nationkey AS k FROM supplier"
+
+
+@query("SELECT text, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_copies(spark, d):
+    return table(spark, d, "documents").groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 4))::INT < 6554")
+def hash_sample(spark, d):
+    """A tenth of the rows, the same on every run and engine."""
+    return table(spark, d, "orders").filter(F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 4), 16, 10).cast("int") < 6554).select("o_orderkey", "o_totalprice")
+
+
+@query("""
+SELECT c_mktsegment, max_by(c_custkey, c_custkey * 1.0) AS last, count_if(c_acctbal > 0)::BIGINT AS pos, bool_and(c_acctbal > -1000) AS all_ok, round(corr(c_acctbal, c_custkey), 6) AS r,
+  list_sort(list(DISTINCT c_nationkey)) AS nations, string_agg(DISTINCT c_nationkey::VARCHAR, ',' ORDER BY c_nationkey::VARCHAR) AS listed, quantile_cont(c_acctbal, 0.25) AS q1 FROM customer GROUP BY c_mktsegment
+""")
+def aggregates(spark, d):
+    k = F.col("c_nationkey").cast("string")
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.max_by("c_custkey", "c_custkey").alias("last"), F.count_if(F.col("c_acctbal") > 0).alias("pos"), F.bool_and(F.col("c_acctbal") > -1000).alias("all_ok"), F.round(F.corr("c_acctbal", "c_custkey"), 6).alias("r"), F.array_sort(F.collect_set("c_nationkey")).alias("nations"), F.array_join(F.array_sort(F.collect_set(k)), ",").alias("listed"), F.percentile("c_acctbal", 0.25).alias("q1"))
+
+
+@query()
+def approximate(spark, d):
+    """Sketches: no SQL twin, as engines differ; their error is tested."""
+    return table(spark, d, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("hll"), F.percentile_approx("l_extendedprice", 0.5).alias("median"))
+
+
+QUERIES, SQL = query.queries, query.sql
