@@ -100,8 +100,11 @@ def _pair_counts(batches: Iterator[pa.RecordBatch], own: dict[bytes, int], size:
     yield pa.record_batch({"pair": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
 
-def train(pairs: np.ndarray, dim: int = 24, noise: int = 25, steps: int = 120, rate: float = 0.05, seed: int = 1) -> dict[str, np.ndarray]:
-    """NCE on a matrix of counts [before, token]. Parameters r, c, q, b."""
+def train(pairs: np.ndarray, dim: int = 24, noise: int = 25, steps: int = 120, rate: float = 0.05, ridge: float = 10.0, seed: int = 1) -> dict[str, np.ndarray]:
+    """NCE on a matrix of counts [before, token]. Parameters r, c, q, b.
+
+    ridge: a penalty on r and q that weighs as much as so many observed pairs, whatever their number.
+    """
     size, rng = len(pairs), np.random.default_rng(seed)
     n_before, n_token = pairs.sum(axis=1), pairs.sum(axis=0)
     unigram = ((n_token + 0.5) / (n_token + 0.5).sum()).astype(np.float32)
@@ -109,15 +112,15 @@ def train(pairs: np.ndarray, dim: int = 24, noise: int = 25, steps: int = 120, r
     contrast = (noise * np.outer(n_before / max(1.0, pairs.sum()), unigram)).astype(np.float32)
     p = {"r": rng.normal(0, 0.3, (size, dim)), "c": np.eye(dim), "q": rng.normal(0, 0.3, (size, dim)), "b": np.log(unigram)}
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    # Words are rare in unequal measure: rows are scaled so that each learns at a like pace.
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     for t in range(1, steps + 1):
         rc = p["r"] @ p["c"]
         logit = rc @ p["q"].T + (p["b"] - np.log(noise * unigram))
-        odds = 1 / (1 + np.exp(-logit))
+        odds = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         g = share * (1 - odds) - contrast * odds
         g_rc = g @ p["q"]
-        grad = {"q": g.T @ rc, "b": g.sum(axis=0), "c": p["r"].T @ g_rc, "r": g_rc @ p["c"].T}
+        pull = np.float32(ridge / max(1.0, pairs.sum()))
+        grad = {"q": g.T @ rc - pull * p["q"], "b": g.sum(axis=0), "c": p["r"].T @ g_rc, "r": g_rc @ p["c"].T - pull * p["r"]}
         pace = rate * min(1.0, 3 * (1 - t / (steps + 1)))
         for k, d in grad.items():
             m[k] = 0.9 * m[k] + 0.1 * d
