@@ -9,14 +9,16 @@ documents link when 100 * common >= 80 * united; the result is the connected com
    The order is by hash, but tokens of many prefixes (a bitmap of fixed size, filled from counts over
    all classes) come last, so that passages shared by unlike documents don't select. Tokens of one
    class only are dropped by a grouped count, and classes left with too few tokens to link.
-3. Groups: per shared token the smallest class leads; each class is compared with leaders with which
-   it shares enough, and components of these links are the groups of similar documents.
-   Thousands of near copies end in one group after a few comparisons each.
+3. Groups: per shared token the smallest class leads; each class joins the leader with which it shares
+   most, if enough, and is compared with it. Classes joined this way, linked or not, are a group of
+   similar documents. Its largest linked part needs no further comparison within itself; the
+   other classes of the group are asked against all of it.
 4. Token-group matrix: the distinct (token, group) rows of prefixes. A class with min k tokens in another
    group's rows is a candidate for that group (the smaller group's classes are asked, which is
-   enough). Groups are stored in blocks with the union of their members' tokens; a block is opened
-   only for candidates that have ceil(0.8 a) tokens in the union, and members are compared by
-   intersection. Any link between two groups shares that many prefix tokens, so none is lost.
+   enough). Any link between two groups shares that many prefix tokens, so none is lost.
+   Groups are stored in blocks with the union of their members' tokens; a block is opened only
+   for candidates that have ceil(0.8 a) tokens in the union, and all intersections in it are one
+   product of 0/1 matrices. Only links that connect something new leave a block.
 5. Components over all links, by alternating large- and small-star rounds, each written out.
 
 Blocks hold at most `block` members and candidates, however large a group is; all counts are
@@ -151,28 +153,60 @@ def bitmap_of(positions: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections: products of 0/1 matrices over the tokens that both sides have."""
+    tokens = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    total = np.zeros((len(left), len(right)), np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(tokens, flat), max(0, len(tokens) - 1))
+        seen = tokens[at] == flat if len(tokens) else np.zeros(len(flat), bool)
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[seen], at[seen]
+
+    (lr, lt), (rr, rt) = places(left), places(right)
+    for lo in range(0, len(tokens), width):
+        blocks = []
+        for rows, at, n in ((lr, lt, len(left)), (rr, rt, len(right))):
+            here = (at >= lo) & (at < lo + width)
+            m = np.zeros((n, min(width, len(tokens) - lo)), np.float32)
+            m[rows[here], at[here] - lo] = 1
+            blocks.append(m)
+        total += blocks[0] @ blocks[1].T
+    return total
+
+
 def _open(members: pa.Table, asked: pa.Table) -> pa.Table:
-    """Links between the members of one block and its candidates."""
+    """Links that connect what is connected between the members of one block and its candidates."""
+    found: list[tuple[int, int]] = []
     sets = [np.frombuffer(b, np.uint64) for b in members["tokens"].to_pylist()]
-    ids, found = members["rep"].to_pylist(), []
-    union = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-    for me, raw in zip(asked["asked_rep"].to_pylist(), asked["asked_tokens"].to_pylist(), strict=True):
-        s = np.frombuffer(raw, np.uint64)
-        need = least_common(len(s))
-        if len(union) < need:
-            continue
-        at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-        if int((union[at] == s).sum()) < need:
-            continue
-        for other, t in zip(ids, sets, strict=True):
-            if other == me or NUMERATOR * max(len(s), len(t)) > DENOMINATOR * min(len(s), len(t)):
-                continue
-            at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-            common = int((t[at] == s).sum())
-            if DENOMINATOR * common >= NUMERATOR * (len(s) + len(t) - common):
-                found.append((me, other))
-                break  # the members are connected already
-    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+    asks = [np.frombuffer(b, np.uint64) for b in asked["asked_tokens"].to_pylist()]
+    mine, ids = members["rep"].to_numpy(), asked["asked_rep"].to_numpy()
+    if sets and asks:
+        union = np.unique(np.concatenate(sets))
+        flat = np.concatenate(asks)
+        inside = union[np.minimum(np.searchsorted(union, flat), len(union) - 1)] == flat
+        sizes = np.array([len(s) for s in asks])
+        overlap = np.add.reduceat(inside, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+        opens = np.flatnonzero(overlap >= [least_common(n) for n in sizes])  # others can't link with any member
+        if len(opens):
+            common = _common([asks[i] for i in opens], sets)
+            united = sizes[opens][:, None] + np.array([len(s) for s in sets])[None, :] - common
+            near = (DENOMINATOR * common >= NUMERATOR * united) & (ids[opens][:, None] != mine[None, :])
+            rest_m, rest_a = near.any(axis=0), near.any(axis=1)
+            for start in range(len(opens)):
+                if not rest_a[start]:
+                    continue
+                rest_a[start] = False
+                todo = [(True, start)]
+                while todo:
+                    is_asked, k = todo.pop()
+                    rest = rest_m if is_asked else rest_a
+                    new = np.flatnonzero((near[k] if is_asked else near[:, k]) & rest)
+                    rest[new] = False
+                    found += [(k, n) if is_asked else (n, k) for n in new.tolist()]
+                    todo += [(not is_asked, n) for n in new.tolist()]
+    return pa.table({"a": pa.array([int(ids[opens[f[0]]]) for f in found], pa.int64()), "b": pa.array([int(mine[f[1]]) for f in found], pa.int64())})
 
 
 def open_groups(pairs: DataFrame, members: DataFrame, sets: DataFrame, block: int = 1024) -> DataFrame:
@@ -244,20 +278,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     near = lambda a, b: NUMERATOR * F.greatest(a, b) <= DENOMINATOR * F.least(a, b)
     pairs = posted.filter((F.col("rep") != F.col("lead")) & near("n", "lead_n")).groupBy("rep", F.col("lead").alias("g")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    pairs = materialise(pairs.filter(F.col("c") >= spare_needed(F.col("n"))).select("rep", "g"), "jac-pairs")
+    best = Window.partitionBy("rep").orderBy(F.desc("c"), "g")
+    pairs = pairs.filter(F.col("c") >= spare_needed(F.col("n"))).withColumn("r", F.row_number().over(best)).filter("r = 1")
+    pairs = materialise(pairs.select("rep", "g"), "jac-pairs")
+    families = materialise(components(pairs.select(F.col("rep").alias("a"), F.col("g").alias("b"))).select(F.col("node").alias("rep"), F.col("comp").alias("g")), "jac-families")
     links = materialise(open_groups(pairs, pairs.select(F.col("g").alias("rep"), "g").distinct(), sets), "jac-links")
-    groups = components(links)
 
-    post = posted.select("rep", "n", "t").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("t", "rep", "n", F.coalesce("comp", "rep").alias("g"))
+    linked = families.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("rep", "g", F.coalesce("comp", "rep").alias("comp"))
+    counts = linked.groupBy("g", "comp").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("parts"))
+    counts = counts.filter("parts > 1").select("g", F.col("m.comp").alias("main"))
+    strays = linked.join(counts, "g").filter("comp <> main").select("rep", "g")
+
+    post = posted.select("rep", "n", "t").join(families, "rep", "left").select("t", "rep", "n", F.coalesce("g", "rep").alias("g"))
     mixed = post.groupBy("t").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("t")
-    sizes = groups.groupBy(F.col("comp").alias("g")).agg(F.count("*").alias("members"))
+    sizes = families.groupBy("g").agg(F.count("*").alias("members"))
     post = materialise(post.join(mixed, "t").join(sizes, "g", "left").withColumn("members", F.coalesce("members", F.lit(1))), "jac-mixed")
     release(posted)
     matrix = post.select("t", "g", "members").distinct()
     mine = post.select("t", "rep", "n", F.col("g").alias("own"), F.col("members").alias("own_members"))
     asked = mine.join(matrix, "t").filter(F.struct("own_members", "own") < F.struct("members", "g")).groupBy("rep", "g").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    asked = materialise(asked.filter(F.col("c") >= spare_needed(F.col("n"))).select("rep", "g"), "jac-asked")
-    wide = asked.select("g").distinct().join(groups.withColumnRenamed("comp", "g"), "g", "left").select("g", F.coalesce("node", "g").alias("rep"))
+    asked = materialise(asked.filter(F.col("c") >= spare_needed(F.col("n"))).select("rep", "g").union(strays), "jac-asked")
+    wide = asked.select("g").distinct().join(families, "g", "left").select("g", F.coalesce("rep", "g").alias("rep"))
     more = materialise(open_groups(asked, wide, sets), "jac-more")
     release(sets, post)
     final = components(links.union(more))
