@@ -1,3 +1,4 @@
+import datetime
 import sys
 from pathlib import Path
 
@@ -26,6 +27,8 @@ def rows_of(frame):
             return tuple(plain(x) for x in v)
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
+        if isinstance(v, datetime.date):
+            return str(pd.Timestamp(v))
         if isinstance(v, (bool, np.bool_)):
             return bool(v)
         if isinstance(v, (int, float, np.integer, np.floating)):
