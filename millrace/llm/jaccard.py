@@ -13,9 +13,11 @@ documents link when 100 * common >= 80 * united; the result is the connected com
    most, if enough, and is compared with it. Classes joined this way, linked or not, are a group of
    similar documents. Its largest linked part needs no further comparison within itself; the
    other classes of the group are asked against all of it.
-4. Token-group matrix: the distinct (token, group) rows of prefixes. A class with min k tokens in another
-   group's rows is a candidate for that group (the smaller group's classes are asked, which is
-   enough). Any link between two groups shares that many prefix tokens, so none is lost.
+4. Token-group matrix: the distinct (token, group) rows of prefixes, with the sizes of the classes that
+   have the token. Tokens of one group only select nothing. A class keeps m others, of which any link
+   between two groups shares min k; classes with fewer are out, in the matrix as well. Of the m, the
+   m - min k + 1 that are in fewest groups must then hold a shared one: only these are joined, to groups
+   with classes of a fitting size (the smaller group's classes are asked, which is enough).
    Groups are stored in blocks with the union of their members' tokens; a block is opened only
    for candidates that have ceil(0.8 a) tokens in the union, and all intersections in it are one
    product of 0/1 matrices. Only links that connect something new leave a block.
@@ -261,7 +263,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     post = materialise(post.join(shared, "t"), "jac-shared")
     named = materialise(classes.select("key", "rep"), "jac-named")
     release(classes)
-    able = post.groupBy("rep").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= spare_needed(F.col("n"))).select("rep")
+    able = post.groupBy("rep").agg(F.count("*").alias("c"), F.min("n").alias("n")).filter(F.col("c") >= spare_needed(F.col("n"))).select("rep")
     able = materialise(able, "jac-able")
     lead = post.join(able, "rep").groupBy("t").agg(F.min_by(F.struct("rep", "n"), "rep").alias("l"), F.count("*").alias("c")).filter("c > 1")
     lead = lead.select("t", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"))
@@ -277,7 +279,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = materialise(own.groupBy("key").agg(F.first("rep").alias("rep"), F.first("tokens").alias("tokens")).select("rep", "tokens"), "jac-sets")
 
     near = lambda a, b: NUMERATOR * F.greatest(a, b) <= DENOMINATOR * F.least(a, b)
-    pairs = posted.filter((F.col("rep") != F.col("lead")) & near("n", "lead_n")).groupBy("rep", F.col("lead").alias("g")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    pairs = posted.filter((F.col("rep") != F.col("lead")) & near("n", "lead_n")).groupBy("rep", F.col("lead").alias("g")).agg(F.count("*").alias("c"), F.min("n").alias("n"))
     best = Window.partitionBy("rep").orderBy(F.desc("c"), "g")
     pairs = pairs.filter(F.col("c") >= spare_needed(F.col("n"))).withColumn("r", F.row_number().over(best)).filter("r = 1")
     pairs = materialise(pairs.select("rep", "g"), "jac-pairs")
@@ -294,13 +296,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sizes = families.groupBy("g").agg(F.count("*").alias("members"))
     post = materialise(post.join(mixed, "t").join(sizes, "g", "left").withColumn("members", F.coalesce("members", F.lit(1))), "jac-mixed")
     release(posted)
-    matrix = post.select("t", "g", "members").distinct()
-    mine = post.select("t", "rep", "n", F.col("g").alias("own"), F.col("members").alias("own_members"))
-    asked = mine.join(matrix, "t").filter(F.struct("own_members", "own") < F.struct("members", "g")).groupBy("rep", "g").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    asked = materialise(asked.filter(F.col("c") >= spare_needed(F.col("n"))).select("rep", "g").union(strays), "jac-asked")
+    need = spare_needed(F.col("n"))
+    held = post.groupBy("rep").agg(F.count("*").alias("m"), F.min(need).alias("need")).filter("m >= need")
+    held = materialise(post.join(held, "rep"), "jac-held")
+    release(post)
+    matrix = held.groupBy("t", "g", "members").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"))
+    spread = matrix.groupBy("t").agg(F.count("*").alias("groups"))
+    rarest = F.row_number().over(Window.partitionBy("rep").orderBy("groups", "t"))
+    mine = held.join(spread, "t").withColumn("r", rarest).filter(F.col("r") <= F.col("m") - F.col("need") + 1)
+    mine = mine.select("t", "rep", "n", F.col("g").alias("own"), F.col("members").alias("own_members"))
+    alike = (NUMERATOR * F.col("n") <= DENOMINATOR * F.col("high_n")) & (NUMERATOR * F.col("low_n") <= DENOMINATOR * F.col("n"))
+    asked = mine.join(matrix, "t").filter((F.struct("own_members", "own") < F.struct("members", "g")) & alike).select("rep", "g").distinct()
+    asked = materialise(asked.union(strays), "jac-asked")
     wide = asked.select("g").distinct().join(families, "g", "left").select("g", F.coalesce("rep", "g").alias("rep"))
     more = materialise(open_groups(asked, wide, sets), "jac-more")
-    release(sets, post)
+    release(sets, held)
     final = components(links.union(more))
     by_key = named.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     out = first.join(by_key, "key", "left")
