@@ -210,3 +210,15 @@ def test_topk_hard_rows(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_topk(v, v.filter("vec_id % 50 = 0"), k=3, shard=2).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 327680), (0, 2, 2, 327680), (0, 3, 6, 65536), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
+
+
+def test_jaccard_of_texts_made_mostly_of_one_passage(spark):
+    """Near the threshold on both sides: one passage, own words before and behind, slight variants of many."""
+    rng = np.random.default_rng(5)
+    passage, rows = [f"p{k}" for k in range(60)], []
+    for i in range(240):
+        own = [f"o{i // 3}w{k}" for k in range(rng.integers(0, 14))]
+        cut = int(rng.integers(0, 8))
+        rows.append((i, " ".join(own + passage[cut:] + [f"x{i}"] * int(rng.integers(0, 3)))))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows) and 1 < len(set(got.values())) < len(rows)
