@@ -139,6 +139,21 @@ def test_packing_covers_every_id(spark, docs):
     assert got.groupby("step_group").length.sum().max() == packing.STEP_TOKENS
 
 
+def test_packing_ids_of_added_tokens(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"  {end}  ", f"x {end}{end} y\n\n{end}", f"<|endoftext|{end}|>", "<|endoftext|", f"caf\u00e9 \u0436{end} 12's"]
+    t = Tokenizer.from_file(str(path("byte_bpe_50k.json")))
+    ids = [np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for x in texts]
+    assert 50256 in ids[0]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(len(texts)))
+    for r in got:
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+
+
 def test_maximal_segments():
     assert toxicity.maximal_segments([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1, 4), (2, 3, 3), (4, 11, 7)]
 
