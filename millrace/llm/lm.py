@@ -190,7 +190,8 @@ def score_texts(docs: DataFrame, held_out, own: int = 900, local: int = 60_000)
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
     top = counts.orderBy(F.desc("c"), "token").limit(local).collect()
     own_counts = {bytes(r["token"]): int(r["c"]) for r in top[:own]}
-    own_counts.setdefault(END, 0)
+    if END not in own_counts:  # long texts: other tokens are more frequent than the end, whose count is one a text
+        own_counts[END] = int(counts.filter(F.col("token") == F.lit(END)).agg(F.sum("c")).first()[0] or 0)
     names, rare = {t: i for i, t in enumerate(own_counts)}, 3 * ENDINGS
     size = len(names) + rare
     got = training.mapInArrow(lambda it: _pair_counts(it, names, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()

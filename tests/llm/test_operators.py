@@ -82,6 +82,20 @@ def test_language_model_against_brute_force(spark, docs):
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_language_model_with_one_long_training_text(spark):
+    """The end is not among the most frequent tokens here, and its count is still known."""
+    long = " ".join(f"w{i}" for i in range(30) for _ in range(2))
+    rows = [(1, long), (2, "w1 new")]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.score_texts(few, few["doc_id"] == 2, own=10, local=20).collect()}
+    counts = collections.Counter([*lm.words_of(long), lm.END])
+    n, v = sum(counts.values()), len(counts)
+    for i, t in rows:
+        tokens = [*lm.words_of(t), lm.END]
+        assert got[i]["n_known"] == sum(counts[w] > 0 for w in tokens)
+        assert math.isclose(got[i]["base_score"], sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), rel_tol=1e-9)
+
+
 def test_language_model_is_normalised():
     pairs = np.random.default_rng(0).poisson(2, (30, 30)).astype(float)
     logs = lm.log10_table(lm.train(pairs, dim=4, steps=40))
