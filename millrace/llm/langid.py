@@ -11,7 +11,7 @@ Host prior: shares of text decisions per host, smoothed towards its site (the ho
 first label, if it has over two), that towards the suffix, that towards the whole table. All are
 grouped aggregations with partial sums; a host with a third of the rows is one row of the result.
 
-Languages are the declared ones, the 64 most frequent (the size of the model, not of the data).
+Languages are all declared ones. The model, dense, has 2^15 cells for each, and each row one posterior.
 A row is kept if a language other than `und` has a posterior of at least `least`. Null or
 letterless text has no text evidence: it is `und` and not kept. Null declared, url or host values
 carry no evidence. Repeated rows and null ids are judged row by row. An empty table, or one with
@@ -32,7 +32,6 @@ from millrace.llm.common import materialise, table
 
 CELLS = 1 << 15
 UNDETERMINED = "und"
-LANGUAGES = 64
 _LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
 
 
@@ -47,7 +46,7 @@ def trigrams(raw: bytes) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((len(names), CELLS), np.int64)
+    total: dict[int, np.ndarray] = {}  # only of languages met
     index = {n: i for i, n in enumerate(names)}
     for batch in batches:
         parts: dict[int, list[bytes]] = {}
@@ -55,9 +54,11 @@ def _counts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.
             if lang in index and text:
                 parts.setdefault(index[lang], []).append(text.encode("utf-8", "replace"))
         for i, texts in parts.items():
-            total[i] += np.bincount(trigrams(b"\n\n\n".join(texts)), minlength=CELLS)
-    at = np.nonzero(total)
-    yield pa.record_batch({"l": pa.array(at[0], pa.int32()), "cell": pa.array(at[1], pa.int32()), "n": pa.array(total[at], pa.int64())})
+            n = np.bincount(trigrams(b"\n\n\n".join(texts)), minlength=CELLS)
+            total[i] = total[i] + n if i in total else n
+    for i, n in total.items():
+        at = np.flatnonzero(n)
+        yield pa.record_batch({"l": pa.array(np.full(len(at), i), pa.int32()), "cell": pa.array(at, pa.int32()), "n": pa.array(n[at], pa.int64())})
 
 
 def _likelihoods(batches: Iterator[pa.RecordBatch], logs: np.ndarray, weight: float) -> Iterator[pa.RecordBatch]:
@@ -83,7 +84,7 @@ def identify(rows: DataFrame, weight: float = 150.0, least: float = 0.5, smooth:
     named = F.col("host").contains(".")
     rows = rows.withColumn("suffix", F.when(named, F.substring_index("host", ".", -1)))
     rows = rows.withColumn("site", F.when(F.size(F.split("host", r"\.")) > 2, F.regexp_replace("host", r"^[^.]*\.", "")).otherwise(F.col("host")))
-    names = [r["declared"] for r in rows.filter("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()]
+    names = [r["declared"] for r in rows.filter("declared is not null").select("declared").distinct().collect()]
     names = sorted(n for n in names if n != UNDETERMINED)
     counts = np.zeros((len(names) + 1, CELLS))
     if names:
@@ -99,12 +100,18 @@ def identify(rows: DataFrame, weight: float = 150.0, least: float = 0.5, smooth:
     def shares(by: str, parent: DataFrame | None = None, up: str | None = None) -> DataFrame:
         """Per value of a column: counts of text decisions, one for each language."""
         keys = [by] if up is None else [by, up]
-        return text.filter(F.col(by).isNotNull()).groupBy(*keys).agg(F.array(*[F.count_if(F.col("t") == k) for k in range(size)]).alias("n"))
+        per = text.filter(F.col(by).isNotNull()).groupBy(*keys, "t").count().groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("t", "count"))).alias("m"))
+        return per.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0))).alias("n"))
 
-    every = text.agg(*[F.count_if(F.col("t") == k).alias(f"n{k}") for k in range(size)]).first()
-    whole = np.array([every[k] for k in range(size)], float)
-    root = F.array(*[F.lit(float(x)) for x in (whole + 1) / (whole.sum() + size)])
-    of_class = F.array(*[F.lit(float(x)) for x in whole])
+    def numbers(xs: np.ndarray) -> Column:
+        """A constant array, of one literal whatever its length."""
+        return F.split(F.lit(",".join(repr(float(x)) for x in xs)), ",").cast("array<double>")
+
+    whole = np.zeros(size)
+    for r in text.groupBy("t").count().collect():
+        whole[r["t"]] = r["count"]
+    root = numbers((whole + 1) / (whole.sum() + size))
+    of_class = numbers(whole)
 
     def towards(n: Column, parent: Column) -> Column:
         total = F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -129,7 +136,7 @@ def identify(rows: DataFrame, weight: float = 150.0, least: float = 0.5, smooth:
     best = (F.array_position("logp", F.col("top")) - 1).cast("int")
     norm = F.aggregate("logp", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     voiced = F.col("n_trigrams") > 0
-    label = F.array(*[F.lit(c) for c in classes])
+    label = F.split(F.lit(",".join(classes)), ",")
     lang = F.when(voiced, F.element_at(label, best + 1)).otherwise(F.lit(UNDETERMINED))
     out = full.select("id", lang.alias("lang"), F.when(voiced, 1 / norm).otherwise(F.lit(1.0)).alias("posterior"), F.element_at(label, F.col("t") + 1).alias("text_lang"))
     return out.withColumn("keep", (F.col("lang") != UNDETERMINED) & (F.col("posterior") >= least))

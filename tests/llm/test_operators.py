@@ -185,6 +185,17 @@ def test_language(spark, docs):
     assert langid.pages_language(spark, SMALL).filter("keep").count() == spark.read.parquet(f"{SMALL}/pages.parquet").count()
 
 
+def test_language_of_many_declared_codes(spark):
+    """70 languages, the last ones with the fewest rows."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(70):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)]
+        rows += [(len(rows) + j, " ".join(rng.permutation(words)), f"{chr(97 + i // 26)}{chr(97 + i % 26)}", "h.example.com") for j in range(3 if i < 64 else 2)]
+    got = {r["id"]: r for r in langid.identify(spark.createDataFrame(rows, "id long, text string, declared string, host string")).collect()}
+    assert len(got) == len(rows) and all(got[i]["lang"] == lang and got[i]["keep"] for i, _, lang, _ in rows)
+
+
 def brute_components(pairs):
     sets = {i: set(jaccard.shingles(t).tolist()) for i, t in pairs}
     root = {i: i for i in sets}
