@@ -10,7 +10,8 @@ The kth score is shared: each query first searches one shard, and that shard's k
 the pruning in all the others starts, as no query's final kth score can be lower.
 
 Equal scores go to the smaller id, so nodes that can only tie are opened. Of equal vectors in a
-shard only the k + 1 smallest ids can be results; the others are left out of the tree. Null
+shard only the k + 1 smallest distinct ids can be results, and k rows of each (a query's own id
+gives none); the others are left out of the tree. Null
 vectors, and those with null or non-finite components, take no part, nor do null ids. A shorter
 vector counts as padded with zeros. Repeated rows of one id count as candidates each, but never
 for their own query id. Scores beyond 64 bits raise an error. Empty tables give no rows.
@@ -33,15 +34,19 @@ LEAF = 64
 
 class BallTree:
     def __init__(self, x: np.ndarray, ids: np.ndarray, k: int):
-        """x: integer-valued float64 rows. Keeps the k + 1 smallest ids of equal rows."""
+        """x: integer-valued float64 rows. Of equal rows keeps the k + 1 smallest distinct ids, k rows of each at most."""
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
         _, inverse = np.unique(x, axis=0, return_inverse=True)
         inverse = inverse.ravel()
         by = np.argsort(inverse, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(inverse[by]) > 0]) if len(by) else np.zeros(0, int)
-        nth = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
-        keep = np.sort(by[nth <= k])
+        if len(by):
+            new_vec = np.r_[True, np.diff(inverse[by]) > 0]
+            new_id = new_vec | np.r_[True, ids[by][1:] != ids[by][:-1]]
+            since = lambda new, at: at - np.repeat(at[new], np.diff(np.r_[np.flatnonzero(new), len(by)]))
+            nth_id, nth_row = since(new_vec, np.cumsum(new_id)), since(new_id, np.arange(len(by)))
+            by = by[(nth_id <= k) & (nth_row < k)]
+        keep = np.sort(by)
         self.x, self.ids = x[keep], ids[keep]
         self.nodes: list[tuple] = []  # (centre, radius, left, right, rows)
         if len(self.x):

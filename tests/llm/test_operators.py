@@ -252,6 +252,14 @@ def test_topk_hard_rows(spark):
     assert got == [(0, 1, 1, 327680), (0, 2, 2, 327680), (0, 3, 6, 65536), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
 
 
+def test_topk_of_repeated_query_ids(spark):
+    """Rows of the query's own id do not push out other ids with the same vector; repeated rows of others count each."""
+    rows = [*[(0, [1.0, 2.0])] * 5, *[(1, [1.0, 2.0])] * 2, (2, [1.0, 2.0]), (3, [0.5, 0.0])]
+    v, q = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows, rows[:1]))
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.exact_topk(v, q, k=4).orderBy("rank").collect()]
+    assert got == [(1, 1, 327680), (2, 1, 327680), (3, 2, 327680), (4, 3, 32768)]
+
+
 def test_jaccard_of_texts_made_mostly_of_one_passage(spark):
     """Near the threshold on both sides: one passage, own words before and behind, slight variants of many."""
     rng = np.random.default_rng(5)
