@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from millrace.operators.registering import Queries
+from millrace.sources.scratch import fresh_path
 from millrace.sources.tables import table
 
 query = Queries()
 
 
 def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    import uuid
-
-    return f"{base.rstrip('/')}/millrace/{uuid.uuid4().hex}"
+    return fresh_path(spark, "io")
 
 
 def _trip(fmt: str):
