@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, table
+from millrace.llm.common import bound_batches, by_bytes, materialise, table
 
 CELLS = 1 << 15
+CHUNK = 1 << 18  # bytes of text whose trigrams are held at once
 UNDETERMINED = "und"
 _LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
 
@@ -45,16 +46,24 @@ def trigrams(raw: bytes) -> np.ndarray:
     return (code * np.uint32(2654435761)) >> np.uint32(17)
 
 
+def histogram(raw: bytes) -> np.ndarray:
+    """Counts of a text's cells, chunk by chunk; neighbouring chunks overlap by two bytes."""
+    total = np.zeros(CELLS, np.int64)
+    for lo in range(0, max(1, len(raw) - 2), CHUNK):
+        total += np.bincount(trigrams(raw[lo : lo + CHUNK + 2]), minlength=CELLS)
+    return total
+
+
 def _counts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}  # only of languages met
     index = {n: i for i, n in enumerate(names)}
-    for batch in batches:
+    for batch in by_bytes(batches, "text", CHUNK):
         parts: dict[int, list[bytes]] = {}
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("declared").to_pylist(), strict=True):
             if lang in index and text:
                 parts.setdefault(index[lang], []).append(text.encode("utf-8", "replace"))
         for i, texts in parts.items():
-            n = np.bincount(trigrams(b"\n\n\n".join(texts)), minlength=CELLS)
+            n = histogram(b"\n\n\n".join(texts))
             total[i] = total[i] + n if i in total else n
     for i, n in total.items():
         at = np.flatnonzero(n)
@@ -64,12 +73,18 @@ def _counts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.
 def _likelihoods(batches: Iterator[pa.RecordBatch], logs: np.ndarray, weight: float) -> Iterator[pa.RecordBatch]:
     """logs: (languages and und, cells)."""
     across = np.ascontiguousarray(logs.T)
-    for batch in batches:
+    for batch in by_bytes(batches, "text", CHUNK):
         rows = []
         for text in batch.column("text").to_pylist():
-            cells = trigrams(text.encode("utf-8", "replace")) if text else np.zeros(0, np.uint32)
-            rows.append((across[cells].sum(axis=0, dtype=np.float64) * min(0.5, weight / max(1, len(cells))), len(cells)))
-        yield pa.record_batch({**{c: batch.column(c) for c in batch.schema.names if c != "text"}, "likelihood": pa.array([r[0].tolist() for r in rows], pa.list_(pa.float64())), "n_trigrams": pa.array([r[1] for r in rows], pa.int64())})
+            raw = (text or "").encode("utf-8", "replace")
+            if len(raw) <= CELLS:
+                cells = trigrams(raw) if raw else np.zeros(0, np.uint32)
+                n, total = len(cells), across[cells].sum(axis=0, dtype=np.float64)
+            else:
+                counts = histogram(raw)
+                n, total = int(counts.sum()), counts.astype(np.float64) @ across
+            rows.append(((total * min(0.5, weight / max(1, n))).tolist(), n))
+        yield pa.record_batch({**{c: batch.column(c) for c in batch.schema.names if c != "text"}, "likelihood": pa.array([r[0] for r in rows], pa.list_(pa.float64())), "n_trigrams": pa.array([r[1] for r in rows], pa.int64())})
 
 
 def _code(c: Column) -> Column:
@@ -80,6 +95,7 @@ def _code(c: Column) -> Column:
 
 def identify(rows: DataFrame, weight: float = 150.0, least: float = 0.5, smooth: float = 5.0) -> DataFrame:
     """rows: id, text, declared, host (null where there is none). Returns id, lang, posterior, keep, text_lang."""
+    bound_batches(rows.sparkSession)
     rows = rows.select("id", "text", _code(F.col("declared")).alias("declared"), F.lower("host").alias("host"))
     named = F.col("host").contains(".")
     rows = rows.withColumn("suffix", F.when(named, F.substring_index("host", ".", -1)))
@@ -96,11 +112,13 @@ def identify(rows: DataFrame, weight: float = 150.0, least: float = 0.5, smooth:
     text = rows.mapInArrow(lambda it: _likelihoods(it, logs, weight), f"id {dict(rows.dtypes)['id']}, declared string, host string, suffix string, site string, likelihood array<double>, n_trigrams long")
     best = F.when(F.col("n_trigrams") == 0, F.lit(size - 1)).otherwise((F.array_position("likelihood", F.array_max("likelihood")) - 1).cast("int"))
     text = materialise(text.withColumn("t", best), "langid-text")
+    # All statistics come from this table: one row for each combination met, far fewer than texts.
+    cells = materialise(text.groupBy("declared", "suffix", "site", "host", "t").agg(F.count("*").alias("count")), "langid-cells")
 
-    def shares(by: str, parent: DataFrame | None = None, up: str | None = None) -> DataFrame:
+    def shares(by: str, up: str | None = None) -> DataFrame:
         """Per value of a column: counts of text decisions, one for each language."""
         keys = [by] if up is None else [by, up]
-        per = text.filter(F.col(by).isNotNull()).groupBy(*keys, "t").count().groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("t", "count"))).alias("m"))
+        per = cells.filter(F.col(by).isNotNull()).groupBy(*keys, "t").agg(F.sum("count").alias("count")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("t", "count"))).alias("m"))
         return per.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0))).alias("n"))
 
     def numbers(xs: np.ndarray) -> Column:
@@ -108,7 +126,7 @@ def identify(rows: DataFrame, weight: float = 150.0, least: float = 0.5, smooth:
         return F.split(F.lit(",".join(repr(float(x)) for x in xs)), ",").cast("array<double>")
 
     whole = np.zeros(size)
-    for r in text.groupBy("t").count().collect():
+    for r in cells.groupBy("t").agg(F.sum("count").alias("count")).collect():
         whole[r["t"]] = r["count"]
     root = numbers((whole + 1) / (whole.sum() + size))
     of_class = numbers(whole)
@@ -127,7 +145,7 @@ def identify(rows: DataFrame, weight: float = 150.0, least: float = 0.5, smooth:
     hosts = shares("host", up="site").join(sites, "site", "left").select("host", towards(F.col("n"), F.coalesce("site_p", root)).alias("host_p"))
     hosts = materialise(hosts, "langid-hosts")
     declared = shares("declared").select("declared", F.col("n").alias("declared_n"))
-    kinds = [text.select(c).distinct().count() for c in ("declared", "suffix")]
+    kinds = cells.agg(*[F.count_distinct(F.coalesce(c, F.lit(""))) for c in ("declared", "suffix")]).first()
     full = text.join(declared, "declared", "left").join(suffixes.select("suffix", "suffix_n"), "suffix", "left").join(hosts, "host", "left")
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     prior = F.transform(F.coalesce("host_p", root), lambda p: F.log(p))

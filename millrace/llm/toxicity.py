@@ -12,9 +12,10 @@ is the maximum-likelihood value over the clean training documents' best segments
 Passages with E <= `alpha` are significant. A document's score is a logistic function, fitted on
 training documents, of its best and its summed significant evidence.
 
-Learning takes at most `per_class` labelled training documents of each class, those with the
-smallest hash of the id (a documented bound; class weights restore the labels' shares); their ids
-are small enough to broadcast, so texts are not shuffled. Scores use texts alone.
+Learning takes about `per_class` labelled training documents of each class (a documented bound):
+ids whose hash is under per_class / the class's size, all if there are fewer; class weights restore
+the labels' shares. Their ids are few enough to broadcast, so texts are not shuffled, and the sample
+is written once. All tokens that are sure take part. Scores use texts alone.
 
 Null or empty text has no passages. Null labels and those other than 0 and 1 are left out; repeated
 labels of an id count as toxic if one does. Without toxic or clean training documents every score
@@ -33,18 +34,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_residue, table
+from millrace.llm.common import bound_batches, by_bytes, id_residue, materialise, release, table
 
 PER_CLASS = 8000
-VOCABULARY = 20_000
 STEMS = (4, 5, 6)
 MEMO = 200_000
 _SPACES = bytes(32 if b < 33 or (b < 128 and not chr(b).isalnum()) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 PASSAGE = "array<struct<start:long,end:long,score:double,e_value:double>>"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(_SPACES).split()
+def word_runs(text: str | None, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in runs of about `most` bytes, so that a long text's words are never held at once."""
+    raw, at = (text or "").encode("utf-8", "replace").translate(_SPACES), 0
+    while at < len(raw):
+        end = raw.find(b" ", at + most)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -98,20 +104,22 @@ class Model:
         self.share, self.scores = share, None
         self.rate, self.k, self.weights, self.alpha = 1.0, 1.0, None, 0.01
 
-    def segments(self, words: list[bytes]) -> tuple[float, list[tuple[int, int, float, float]]]:
-        """Evidence of the best segment, and the significant ones with their E-values."""
-        n = len(words)
+    def segments(self, text: str | None) -> tuple[int, float, list[tuple[int, int, float, float]]]:
+        """Number of words, evidence of the best segment, and the significant ones with their E-values."""
+        scored = (lambda w: 0.0) if self.scores is None else self.scores.__getitem__
+        parts = [np.fromiter(map(scored, words), np.float64, len(words)) for words in word_runs(text)]
+        s = np.concatenate(parts) if parts else np.zeros(0)
+        n = len(s)
         if not n or self.scores is None:
-            return 0.0, []
-        s = np.fromiter(map(self.scores.__getitem__, words), np.float64, n)
+            return n, 0.0, []
         run = np.concatenate([[0.0], np.cumsum(s)])
         best = float((run - np.minimum.accumulate(run)).max())
         scale = math.log(self.k * n)
         evidence = self.rate * best - scale
         if evidence < -math.log(self.alpha):
-            return evidence, []
+            return n, evidence, []
         every = ((a, b, x, scale - self.rate * x) for a, b, x in maximal_segments(s.tolist()))
-        return evidence, [(a, b, x, math.exp(e)) for a, b, x, e in every if e <= math.log(self.alpha)]
+        return n, evidence, [(a, b, x, math.exp(e)) for a, b, x, e in every if e <= math.log(self.alpha)]
 
     @staticmethod
     def features(n: int, evidence: float, found: list) -> tuple[float, ...]:
@@ -135,27 +143,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts[1].clear()
         return batch
 
-    for batch in batches:
+    for batch in by_bytes(batches, "text"):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[toxic].update({t for w in set(words_of(text)) for t in tokens_of(w)})
+            kinds = set().union(*map(set, word_runs(text)))
+            counts[toxic].update({t for w in kinds for t in tokens_of(w)})
         if len(counts[0]) + len(counts[1]) > 300_000:
             yield out()
     yield out()
 
 
 def _clean_scores(batches: Iterator[pa.RecordBatch], scores: WordScores) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen = Counter(s for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True) if not toxic for s in map(scores.__getitem__, words_of(text)))
+    for batch in by_bytes(batches, "text"):
+        seen = Counter(s for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True) if not toxic for words in word_runs(text) for s in map(scores.__getitem__, words))
         yield pa.record_batch({"s": pa.array(list(seen.keys()), pa.float64()), "n": pa.array(list(seen.values()), pa.int64())})
 
 
 def _evidence(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text in batch.column("text").to_pylist():
-            words = words_of(text)
-            evidence, found = model.segments(words)
-            rows.append((len(words), evidence, found))
+    for batch in by_bytes(batches, "text"):
+        rows = [model.segments(text) for text in batch.column("text").to_pylist()]
         yield pa.record_batch(
             {
                 **{c: batch.column(c) for c in batch.schema.names if c != "text"},
@@ -194,13 +199,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, prior: float = 0.05, sure: float = 3.5, drift: float = 0.5, alpha: float = 0.01) -> Model:
     """Learns from labelled documents (doc_id, text; doc_id, toxic). All labels given are training labels."""
+    bound_batches(docs.sparkSession)
     labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     size = {int(r["toxic"]): r["count"] for r in labels.groupBy("toxic").count().collect()}
     model = Model(size.get(1, 0) / max(1, sum(size.values())))
     model.alpha = alpha
-    picked = [labels.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for t in (0, 1)]
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("text", "toxic")
-    n0, n1 = (min(size.get(t, 0), per_class) for t in (0, 1))
+    if not size.get(0) or not size.get(1):
+        return model
+    place = (F.xxhash64("doc_id") / float(2**64)) + 0.5  # in [0, 1]
+    limit = F.when(F.col("toxic") == 1, F.lit(per_class / size[1])).otherwise(F.lit(per_class / size[0]))
+    picked = F.broadcast(labels.filter((place < limit) | (limit >= 1)))
+    sample = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("text", "toxic"), "tox-sample")
+    taken = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n0, n1 = taken.get(0, 0), taken.get(1, 0)
     if not n0 or not n1:
         return model
     counts = sample.mapInArrow(_count, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -209,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, prior: f
     delta = odds(F.col("toxic"), n1) - odds(F.col("clean"), n0)
     error = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
     scored = counts.select("word", delta.alias("delta"), error.alias("error")).filter(F.abs("delta") > sure * F.col("error"))
-    top = scored.orderBy(F.desc(F.abs(F.col("delta") / F.col("error"))), "word").limit(VOCABULARY).toPandas()
+    top = scored.toPandas()  # tokens of the sample that are sure: their number follows the bound on documents
     if not len(top):
         return model
     shrunk = np.sign(top["delta"]) * (np.abs(top["delta"]) - top["error"])
@@ -228,6 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, prior: f
     x = np.array([Model.features(n, e, [tuple(q.values()) if isinstance(q, dict) else tuple(q) for q in f]) for n, e, f in zip(seen["n_words"], seen["evidence"], seen["passages"], strict=True)])
     y = seen["toxic"].to_numpy(float)
     share = {t: size[t] / max(1, int((y == t).sum())) for t in (0, 1)}
+    release(sample)
     w = np.where(y == 1, share[1], share[0])
     model.weights = _logistic(x, y, w / w.mean())
     return model
@@ -235,6 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, prior: f
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_words, evidence, passages, score for each row."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(lambda it: _evidence(it, model), f"doc_id long, n_words long, evidence double, passages {PASSAGE}, score double")
 
@@ -243,13 +256,11 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     """The rows of docs that score below the threshold, with all their columns."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fine = []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                fine.append(model.score(len(words), *model.segments(words)) < threshold)
+        for batch in by_bytes(batches, "text"):
+            fine = [model.score(*model.segments(text)) < threshold for text in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
 
 
