@@ -8,11 +8,14 @@ while its size-weighted mean stays the rest. Documents are ranked by
 words reach what the whole copies left open; the last document is taken if that ends nearer to it.
 
 The cut is found without sorting a source: three rounds each split the one bucket of ranks in
-which the cut lies into 256, from summed sizes; only the last bucket's documents are ordered.
+which the cut lies into 256, from summed sizes; of the last bucket only its distinct (rank, id, size)
+are ordered. Rows that are equal in these (a repeated id, null ids) are taken one by one in the order
+of their row numbers, written once before anything is counted: the number of the last one is found
+from counts per input partition, so that no task sorts more than one of them, however many are equal.
+Sources are ordered and summed up by ranges, so that they may be as many as hosts are.
 
 Null text: size 0. Null source: a source of its own, last in order. Null ids share one hash.
-Repeated rows are ranked one by one; equal ranks go by id, then size. An empty table gives no rows.
-Columns besides the three that are read are ignored.
+An empty table gives no rows. Columns besides the three that are read are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, table, word_count
+from millrace.llm.common import materialise, running, table, word_count
 
 LEVELS = (256, 256**2, 256**3)
 
@@ -28,14 +31,15 @@ LEVELS = (256, 256**2, 256**3)
 def source_targets(sized: DataFrame, weights=(5, 2, 1), share=1.5, max_copies=2) -> DataFrame:
     """One row per source: key, source_size, target and the sums for p. As many rows as sources."""
     per = sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("x")).alias("sx"), F.max(F.col("source").isNull()).alias("null_last"))
-    by_name, every = Window.orderBy("null_last", "key"), Window.partitionBy()
-    n = F.row_number().over(by_name) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (n % len(weights)) + 1)
-    per = per.withColumn("w", w).withColumn("cap", F.lit(float(max_copies)) * F.col("source_size"))
-    before = Window.orderBy(F.col("cap") / F.col("w"), "null_last", "key").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    per = per.withColumn("level", level)
-    return per.select("key", "source_size", F.least("cap", F.col("w") * F.max("level").over(every)).alias("target"), "sx")
+    per = running(per, ["null_last", "key"], {})
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("n_before") % len(weights)) + 1).cast("int"))
+    per = per.withColumn("w", w).withColumn("cap", F.lit(float(max_copies)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
+    # Water level: sources are filled in the order of cap / weight; the level is the greatest that any prefix of full ones leaves.
+    per = running(per.drop("n_before"), ["ratio", "null_last", "key"], {"full": "cap", "w_full": "w"})
+    all_size, all_w = per.agg(F.sum("source_size"), F.sum("w")).first()
+    level = (F.lit(float(share)) * F.lit(all_size) - F.col("full")) / (F.lit(all_w) - F.col("w_full"))
+    top = per.agg(F.max(level)).first()[0]
+    return per.select("key", "source_size", F.least("cap", F.col("w") * F.lit(top)).alias("target"), "sx")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -62,7 +66,7 @@ def _bucket(n: int):
 
 
 def mixing_plan(sized: DataFrame, weights=(5, 2, 1), share=1.5, max_copies=2, tilt=0.5, half_size=200, seed="mix") -> DataFrame:
-    """Per source its target and its cut, from doc_id, source, key and size."""
+    """Per source its target and its cut, from doc_id, source, key, size and row (a number for each row)."""
     per = source_targets(sized.withColumn("x", _x(half_size)), weights, share, max_copies)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.nullif(F.col("source_size"), F.lit(0))).otherwise(F.lit(0.0))
     per = per.withColumn("whole", F.floor(rate)).withColumn("rest", rate - F.col("whole"))
@@ -70,7 +74,7 @@ def mixing_plan(sized: DataFrame, weights=(5, 2, 1), share=1.5, max_copies=2, ti
     per = materialise(per.withColumn("open", F.col("target") - F.col("whole") * F.col("source_size")).drop("sx"), "mix-targets")
     # The cut: `edge` has, per source, the bucket in which it lies and the words of the buckets before it.
     edge = per.select("key", "open", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("before"))
-    inside, width = _ranked(sized, per, tilt, half_size, seed).filter("rank is not null").select("key", "doc_id", "size", "rank", "y"), 1
+    inside, width = _ranked(sized, per, tilt, half_size, seed).filter("rank is not null").select("key", "doc_id", "size", "row", "rank", "y"), 1
     for n in LEVELS:
         at = inside.join(edge, "key").filter(_bucket(width) == F.col("bucket"))
         sums = at.groupBy("key", _bucket(n).alias("b")).agg(F.sum("size").alias("words"), F.first("before").alias("base"), F.first("open").alias("open"))
@@ -79,18 +83,33 @@ def mixing_plan(sized: DataFrame, weights=(5, 2, 1), share=1.5, max_copies=2, ti
         edge = materialise(sums.filter("before <= open and open < upto").select("key", "open", F.col("b").alias("bucket"), "before"), "mix-edge")
         width = n
     last = inside.join(edge, "key").filter(_bucket(width) == F.col("bucket"))
+    alike = last.groupBy("key", "rank", "doc_id", "size").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("open").alias("open"))
     order = Window.partitionBy("key").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    cut = last.filter(2.0 * F.col("ahead") + F.col("size") <= 2.0 * F.col("open")).groupBy("key").agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"))
-    edge = edge.join(cut, "key", "left").select("key", "bucket", "last", F.lit(True).alias("edged"))
+    alike = alike.withColumn("ahead", F.col("before") + F.coalesce(F.sum(F.col("n") * F.col("size")).over(order), F.lit(0)))
+    # The j-th of n equal rows, from 0, is taken if 2 (ahead + j size) + size <= 2 open.
+    left = 2.0 * (F.col("open") - F.col("ahead")) - F.col("size")
+    many = F.when(left < 0, 0).when(F.col("size") == 0, F.col("n")).otherwise(F.least(F.col("n"), F.floor(left / F.nullif(2 * F.col("size"), F.lit(0))) + 1))
+    cut = alike.withColumn("takes", many.cast("long")).filter("takes > 0").groupBy("key").agg(F.max(F.struct("rank", "doc_id", "size", "n", "takes")).alias("c"))
+    cut = materialise(cut.select("key", F.struct("c.rank", "c.doc_id", "c.size").alias("last"), F.col("c.n").alias("n"), F.col("c.takes").alias("takes")), "mix-cut")
+    # Which of the equal rows: whole input partitions first, then within one.
+    tied = inside.join(cut.filter("takes < n").select("key", "last", "takes"), "key").filter(F.struct("rank", "doc_id", "size") == F.col("last")).select("key", "takes", "row", F.shiftright("row", 33).alias("part"))
+    tied = materialise(tied, "mix-tied")
+    parts = tied.groupBy("key", "part").agg(F.count("*").alias("n"), F.first("takes").alias("takes"))
+    parts = parts.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = parts.filter("ahead < takes and takes <= ahead + n").select("key", "part", (F.col("takes") - F.col("ahead")).alias("nth"))
+    nth = tied.join(parts, ["key", "part"]).withColumn("k", F.row_number().over(Window.partitionBy("key", "part").orderBy("row")))
+    rows = nth.filter("k = nth").select("key", F.col("row").alias("last_row"))
+    edge = edge.join(cut.select("key", "last"), "key", "left").join(rows, "key", "left").select("key", "bucket", "last", "last_row", F.lit(True).alias("edged"))
     return materialise(per.join(edge, "key", "left"), "mix-plan")
 
 
 def with_copies(sized: DataFrame, plan: DataFrame, tilt=0.5, half_size=200, seed="mix") -> DataFrame:
-    """Adds the plan's columns and `copies` to rows that have doc_id, key and size."""
+    """Adds the plan's columns and `copies` to rows that have doc_id, key, size and row."""
     ranked, b = _ranked(sized, plan, tilt, half_size, seed), _bucket(LEVELS[-1])
+    mine = F.struct("rank", "doc_id", "size")
+    upto = F.when(mine == F.col("last"), F.coalesce(F.col("row") <= F.col("last_row"), F.lit(True))).otherwise(mine < F.col("last"))
     taken = F.when(F.col("rank").isNull(), False).when(F.col("edged").isNull(), F.col("open") > 0).when(b != F.col("bucket"), b < F.col("bucket"))
-    taken = F.coalesce(taken.otherwise(F.struct("rank", "doc_id", "size") <= F.col("last")), F.lit(False))
+    taken = F.coalesce(taken.otherwise(upto), F.lit(False))
     return ranked.withColumn("copies", F.col("whole") + taken.cast("long"))
 
 
@@ -101,20 +120,23 @@ def pareto_mix(docs: DataFrame, **options) -> DataFrame:
     the mix over all words; max_copies bounds a source's target over its size, and so the copies of
     any document. Returns doc_id, source, size, source_size, target, copies, taken, one row per input row.
     """
-    sized = materialise(_keyed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))), "mix-sizes")
+    sized = materialise(_keyed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row"))), "mix-sizes")
     chance = {k: v for k, v in options.items() if k in ("tilt", "half_size", "seed")}
     got = with_copies(sized, mixing_plan(sized, **options), **chance)
     return got.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as many times as it has copies, with the columns of docs."""
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of docs as many times as it has copies, with the columns of docs.
+
+    The rows are written with their numbers first: which of equal rows are taken hangs on these.
+    """
     own = docs.columns
-    plain = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in own]).alias("whole_row"))
-    sized = materialise(_keyed(plain.select("doc_id", "source", word_count(F.col("text")).alias("size"))), "mix-sizes")
-    plan = mixing_plan(sized)
-    rows = _keyed(plain.select("doc_id", "source", "whole_row", word_count(F.col("text")).alias("size")))
-    got = with_copies(rows, plan).filter("copies > 0").select("whole_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    plain = docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size"), F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("whole_row"))
+    rows = materialise(_keyed(plain), "mix-rows")
+    chance = {k: v for k, v in options.items() if k in ("tilt", "half_size", "seed")}
+    got = with_copies(rows, mixing_plan(rows.drop("whole_row"), **options), **chance).filter("copies > 0")
+    got = got.select("whole_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return got.select(*[F.col("whole_row").getField(c).alias(c) for c in own])
 
 
