@@ -7,7 +7,9 @@ with whole tails of shorter tiers, largest first, and at last with a cut piece o
 that a window has no padding. When no shorter tail is left, open windows are merged end to end.
 What stays at the end of a partition is under one longest window and is cut at powers of two.
 
-Step groups have the same number of tokens whatever the tier: 8 windows of 1024, 16 of 512 ...
+Step groups have the same number of tokens whatever the tier: 8 windows of 1024, 16 of 512 ... A
+group is given out when it is full; at the end of a partition the windows left over are put together
+longest first, whatever their tiers, so that only the last group of a partition can hold fewer.
 
 Packing is done within each input partition, so rows are not shuffled and memory is bounded by one
 Arrow batch and `pool` tails. A lost task gives the same pieces again. Null text counts as empty
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import table
+from millrace.llm.common import bound_batches, by_bytes, table
 
 TIERS = (1024, 512, 256, 128)
 STEP_TOKENS = 8192
@@ -157,42 +159,56 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, pool: int) ->
     held: dict[int, np.ndarray] = {}  # ids of rows that have pieces to come
     names: dict[int, tuple] = {}
     rows = sequences = 0
-    groups = {}  # tier -> [group, tokens in it]
+    waiting: dict[int, list] = {}  # tier -> windows of its open group: (size, rows of its pieces)
     next_group = 0
 
     def flush(last: bool) -> pa.RecordBatch:
         nonlocal sequences, next_group
         packer.pack(last)
         out: list[list] = [[] for _ in schema]
+
+        def give(windows: list) -> None:
+            nonlocal next_group
+            for _, rows_ in windows:
+                for values in rows_:
+                    for column, v in zip(out, (*values[:-1], base + next_group, values[-1]), strict=True):
+                        column.append(v)
+            next_group += 1
+
         for tier, pieces in packer.done:
-            g = groups.get(tier)
-            if g is None or g[1] + tier > STEP_TOKENS:
-                g = groups[tier] = [next_group, 0]
-                next_group += 1
-            g[1] += tier
-            at = 0
+            at, rows_ = 0, []
             for row, start, size in pieces:
                 doc_id, total = names[row]
-                values = (doc_id, start, size, zlib.crc32(held[row][start : start + size].tobytes()), total, base + sequences, at, tier, base + g[0], base + row)
-                for column, v in zip(out, values, strict=True):
-                    column.append(v)
+                rows_.append((doc_id, start, size, zlib.crc32(held[row][start : start + size].tobytes()), total, base + sequences, at, tier, base + row))
                 at += size
             sequences += 1
+            group = waiting.setdefault(tier, [])
+            group.append((at, rows_))
+            if sum(w[0] for w in group) == STEP_TOKENS:
+                give(waiting.pop(tier))
         packer.done = []
+        if last:
+            # Sizes are powers of two, so that taking the longest first fills each group exactly.
+            group: list = []
+            for window in sorted((w for g in waiting.values() for w in g), key=lambda w: -w[0]):
+                group.append(window)
+                if sum(w[0] for w in group) == STEP_TOKENS:
+                    give(group)
+                    group = []
+            if group:
+                give(group)
         for row in held.keys() - {x[2] for tails in packer.tails.values() for x in tails}:
             del held[row], names[row]
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for lo in range(0, len(ids), 256):
-            for doc_id, got in zip(ids[lo : lo + 256], encode([x or "" for x in texts[lo : lo + 256].to_pylist()], path), strict=True):
-                held[rows], names[rows] = got, (doc_id, len(got))
-                packer.add(rows, len(got))
-                rows += 1
-            if packer.held >= pool or len(packer.done) >= pool:
-                packer.held = 0
-                yield flush(False)
+    for batch in by_bytes(batches, "text"):
+        for doc_id, got in zip(batch.column("doc_id").to_pylist(), encode([x or "" for x in batch.column("text").to_pylist()], path), strict=True):
+            held[rows], names[rows] = got, (doc_id, len(got))
+            packer.add(rows, len(got))
+            rows += 1
+        if packer.held >= pool or len(packer.done) >= pool:
+            packer.held = 0
+            yield flush(False)
     if rows:
         yield flush(True)
 
@@ -204,6 +220,7 @@ def pack(docs: DataFrame, path: str | None = None, pool: int = 4096) -> DataFram
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     path = str(path)
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _pack_partition(it, path, pool), StructType.fromDDL(SCHEMA))
 
 
