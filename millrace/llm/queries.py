@@ -18,6 +18,7 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_licenses": licenses.OP2_SQL,
+    "op7_jaccard": jaccard.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op9_topk": topk.OP9_SQL,
 }
