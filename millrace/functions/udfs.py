@@ -1,8 +1,13 @@
-"""One query for each kind of user-defined function."""
+"""One query for each kind of user-defined function.
+
+They show the kinds; built-in functions would do the same work faster, and are what other queries use.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from millrace.operators.registering import Queries
@@ -50,4 +55,31 @@ def udtf_lateral(spark, d):
     return spark.sql("SELECT n_nationkey, k FROM millrace_nation, LATERAL millrace_upto(n_regionkey)")
 
 
+@query("SELECT doc_id, len(text) AS chars FROM documents")
+def udf_map_in_pandas(spark, d):
+    def chars(frames):
+        for f in frames:
+            yield pd.DataFrame({"doc_id": f.doc_id, "chars": f.text.str.len()})
+
+    return table(spark, d, "documents").select("doc_id", "text").mapInPandas(chars, "doc_id long, chars long")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS orders, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def udf_cogrouped_map(spark, d):
+    def both(c: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c_custkey": c.c_custkey, "orders": len(o), "total": round(float(o.o_totalprice.sum()), 2)})
+
+    c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return c.groupBy("c_custkey").cogroup(o.groupBy("o_custkey")).applyInPandas(both, "c_custkey long, orders long, total double")
+
+
+@query("SELECT n_nationkey, len(n_name) AS chars FROM nation")
+def udf_arrow(spark, d):
+    @F.arrow_udf("long")
+    def chars(x: pa.Array) -> pa.Array:
+        return pc.utf8_length(x).cast(pa.int64())
+
+    return table(spark, d, "nation").select("n_nationkey", chars("n_name").alias("chars"))
+
+
 QUERIES, SQL = query.queries, query.sql

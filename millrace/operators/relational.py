@@ -30,8 +30,22 @@ SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_exten
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL
 """)
 def pricing_summary(spark, d):
+    """The exact median comes from counts by value, which are added up before the shuffle, not from whole groups."""
     rows = table(spark, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"), F.round(F.stddev_samp("l_quantity"), 6).alias("sd"), F.median("l_quantity").alias("med"), F.count_distinct("l_partkey").alias("parts"))
+    keys = ["l_returnflag", "l_linestatus"]
+    sums = rows.groupBy(*keys).agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"), F.round(F.stddev_samp("l_quantity"), 6).alias("sd"))
+    parts = rows.select(*keys, "l_partkey").distinct().groupBy(*keys).agg(F.count("l_partkey").alias("parts"))
+    return sums.join(medians(rows, keys, "l_quantity"), keys).join(parts, keys)
+
+
+def medians(rows, keys, value):
+    """Exact medians (`med`) of a column's values in groups: a grouped count by value, then the place of the middle in running counts."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*keys)
+    upto = counts.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("all", F.sum("c").over(w))
+    # Of n values in order the middle ones are the ((n + 1) div 2)-th and the (n div 2 + 1)-th.
+    place = lambda k: F.min(F.when(F.col("upto") >= k, F.col("v")))
+    return upto.groupBy(*keys).agg(((place(F.expr("(all + 1) div 2")) + place(F.expr("all div 2 + 1"))) / 2).alias("med"))
 
 
 @query("SELECT l_orderkey, l_quantity, l_extendedprice FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24 AND l_returnflag IN ('A', 'R')")
@@ -45,10 +59,11 @@ def projection_case_cast(spark, d):
     return table(spark, d, "customer").filter(F.col("c_name").like("%1")).select("c_custkey", "c_name", band.alias("band"), F.round("c_acctbal").cast("int").alias("whole"))
 
 
-def _joined(how):
+def _joined(how, least=None):
     def run(spark, d):
-        o = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey")
-        c = table(spark, d, "customer").filter("c_custkey % 2 = 0").select("c_custkey", "c_name")
+        o = table(spark, d, "orders")
+        o = (o if least is None else o.filter(F.col("o_totalprice") > least)).select("o_orderkey", "o_custkey")
+        c = table(spark, d, "customer").select("c_custkey", "c_name")
         return c.join(o, F.col("c_custkey") == F.col("o_custkey"), how)
 
     return run
@@ -56,10 +71,55 @@ def _joined(how):
 
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
     query.queries[f"base_join_{_how}"] = _joined(_how)
-    query.sql[f"base_join_{_how}"] = f"SELECT c_custkey, c_name, o_orderkey, o_custkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) {_sql} (SELECT * FROM orders WHERE o_orderkey % 3 = 0) ON c_custkey = o_custkey"
-for _how, _not in (("left_semi", ""), ("left_anti", "NOT ")):
-    query.queries[f"base_join_{_how}"] = _joined(_how)
-    query.sql[f"base_join_{_how}"] = f"SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 AND {_not}EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0)"
+    query.sql[f"base_join_{_how}"] = f"SELECT c_custkey, c_name, o_orderkey, o_custkey FROM customer {_sql} orders ON c_custkey = o_custkey"
+for _how, _not in (("left_semi", ""), ("left_anti", "NOT ")):  # customers with, and without, an order of over 400,000
+    query.queries[f"base_join_{_how}"] = _joined(_how, 400_000)
+    query.sql[f"base_join_{_how}"] = f"SELECT c_custkey, c_name FROM customer WHERE {_not}EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)"
+
+
+@query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def join_broadcast(spark, d):
+    """A hint, for a side of a checked size: over 10 MB of it the planner decides."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    small = n._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= 10 << 20
+    return table(spark, d, "supplier").join(F.broadcast(n) if small else n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name")
+def join_theta(spark, d):
+    n = table(spark, d, "nation")
+    a, b = n.alias("a"), n.alias("b")
+    return a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_name") < F.col("b.n_name"))).select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"))
+
+
+@query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t")
+def join_lateral(spark, d):
+    c = table(spark, d, "customer").select("c_custkey")
+    o = table(spark, d, "orders").filter(F.col("o_custkey") == F.col("c_custkey").outer()).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1).select("o_orderkey", "o_totalprice")
+    return c.lateralJoin(o)
+
+
+@query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 45) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity <= 2)")
+def exists_filters(spark, d):
+    p, l = table(spark, d, "part").select("p_partkey"), table(spark, d, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
+    return p.join(l.filter("l_quantity >= 45"), "p_partkey", "left_semi").join(l.filter("l_quantity <= 2"), "p_partkey", "left_anti")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 WHERE o_orderkey IS NULL OR o_orderkey IS NOT DISTINCT FROM c_custkey")
+def null_tests(spark, d):
+    o = table(spark, d, "orders").filter("o_totalprice > 300000")
+    j = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
+    return j.filter(F.col("o_orderkey").isNull() | F.col("o_orderkey").eqNullSafe(F.col("c_custkey")))
+
+
+@query("""
+SELECT c_custkey, big, place FROM (SELECT c_custkey, big, row_number() OVER (ORDER BY big DESC NULLS FIRST, c_custkey) AS place FROM
+  (SELECT c_custkey, max(o_totalprice) AS big FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey)) WHERE place <= 30
+""")
+def sort_null_placement(spark, d):
+    big = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.max("o_totalprice").alias("big"))
+    first = big.orderBy(F.col("big").desc_nulls_first(), "c_custkey").limit(30)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.col("big").desc_nulls_first(), "c_custkey")).cast("long"))
 
 
 @query("""
@@ -160,16 +220,19 @@ def top_k(spark, d):
 for _name, _op in (("union_all", "UNION ALL"), ("union", "UNION"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
 
     def _set(spark, d, name=_name):
-        c, s = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+        c, s = table(spark, d, "part").select(F.col("p_size").alias("k")), table(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
         return {"union_all": lambda: c.union(s), "union": lambda: c.union(s).distinct(), "intersect": lambda: c.intersect(s), "intersect_all": lambda: c.intersectAll(s), "except": lambda: c.subtract(s), "except_all": lambda: c.exceptAll(s)}[name]()
 
     query.queries[f"base_set_{_name}"] = _set
-    query.sql[f"base_set_{_name}"] = f"SELECT c_nationkey AS k FROM customer {_op} SELECT s_nationkey AS k FROM supplier"
+    query.sql[f"base_set_{_name}"] = f"SELECT p_size AS k FROM part {_op} SELECT n_nationkey AS k FROM nation"
 
 
 @query("SELECT text, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
 def exact_copies(spark, d):
-    return table(spark, d, "documents").groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    """Texts are grouped by a 256-bit digest; the text is fetched for the first id of each group of copies only."""
+    docs = table(spark, d, "documents")
+    groups = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    return groups.join(docs.select(F.col("doc_id").alias("first_id"), "text"), "first_id").select("text", "n", "first_id")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 4))::INT < 6554")
@@ -187,10 +250,36 @@ def aggregates(spark, d):
     return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.max_by("c_custkey", "c_custkey").alias("last"), F.count_if(F.col("c_acctbal") > 0).alias("pos"), F.bool_and(F.col("c_acctbal") > -1000).alias("all_ok"), F.round(F.corr("c_acctbal", "c_custkey"), 6).alias("r"), F.array_sort(F.collect_set("c_nationkey")).alias("nations"), F.array_join(F.array_sort(F.collect_set(k)), ",").alias("listed"), F.percentile("c_acctbal", 0.25).alias("q1"))
 
 
+@query("""
+SELECT l_returnflag, round(skewness(l_extendedprice), 6) AS skew, round(kurtosis_pop(l_extendedprice), 6) AS kurt, mode(l_linenumber) AS mode_line, round(covar_pop(l_quantity, l_extendedprice), 3) AS cov_p, round(covar_samp(l_quantity, l_extendedprice), 3) AS cov_s,
+  min_by(l_orderkey, l_orderkey * 10 + l_linenumber) AS first_order, sum(DISTINCT l_quantity) AS distinct_qty, round(var_pop(l_quantity), 6) AS var_p, bool_or(l_discount > 0.09) AS any_high, bit_xor(l_orderkey) AS folded, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, string_agg(DISTINCT l_linestatus, '|' ORDER BY l_linestatus) AS listed
+FROM lineitem GROUP BY l_returnflag
+""")
+def aggregates_more(spark, d):
+    """skewness here is the population's, times the correction for a sample that the SQL twin has; kurtosis is the excess."""
+    n, x = F.count("*"), F.col("l_extendedprice")
+    lines = table(spark, d, "lineitem")
+    return lines.groupBy("l_returnflag").agg(
+        F.round(F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2), 6).alias("skew"), F.round(F.kurtosis(x), 6).alias("kurt"), F.mode("l_linenumber", deterministic=True).alias("mode_line"),
+        F.round(F.covar_pop("l_quantity", x), 3).alias("cov_p"), F.round(F.covar_samp("l_quantity", x), 3).alias("cov_s"), F.min_by("l_orderkey", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_order"),
+        F.sum_distinct("l_quantity").alias("distinct_qty"), F.round(F.var_pop("l_quantity"), 6).alias("var_p"), F.bool_or(F.col("l_discount") > 0.09).alias("any_high"), F.bit_xor("l_orderkey").alias("folded"),
+        F.round(F.regr_slope(x, F.col("l_quantity")), 4).alias("slope"), F.listagg_distinct("l_linestatus", F.lit("|")).alias("listed"),
+    )
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 4))::INT < CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 32768 ELSE 6554 END GROUP BY o_orderpriority")
+def stratified_sample(spark, d):
+    """Half of the pressing orders and a tenth of the others, the same on every run and engine."""
+    u = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 4), 16, 10).cast("int")
+    kept = table(spark, d, "orders").filter(u < F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 32768).otherwise(6554))
+    return kept.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
 @query()
 def approximate(spark, d):
     """Sketches: no SQL twin, as engines differ; their error is tested."""
-    return table(spark, d, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("hll"), F.percentile_approx("l_extendedprice", 0.5).alias("median"))
+    lines = table(spark, d, "lineitem")
+    return lines.agg(F.approx_count_distinct("l_partkey").alias("parts"), F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("hll"), F.percentile_approx("l_extendedprice", 0.5).alias("median"), F.theta_sketch_estimate(F.theta_sketch_agg("l_partkey")).alias("theta"), F.when(F.count("l_extendedprice") > 0, F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("l_extendedprice"), F.lit(0.5))).alias("kll_median"))
 
 
 QUERIES, SQL = query.queries, query.sql

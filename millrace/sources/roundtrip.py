@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.operators.registering import Queries
@@ -38,8 +40,28 @@ for _fmt in ("csv", "json", "orc", "parquet", "xml"):
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def partitioned_sink(spark, d):
     path = _scratch(spark)
-    table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
-    return spark.read.parquet(path).filter(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_orderstatus")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    orders.write.partitionBy("o_orderstatus").parquet(path)
+    return spark.read.schema(orders.schema).parquet(path).filter(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("SELECT n_name AS value FROM nation")
+def roundtrip_text(spark, d):
+    path = _scratch(spark)
+    table(spark, d, "nation").select("n_name").write.text(path)
+    return spark.read.text(path)
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey")
+def bucketed_join(spark, d):
+    """Both tables bucketed by the key: the join needs no exchange."""
+    names = []
+    for name, key in (("customer", "c_custkey"), ("orders", "o_custkey")):
+        names.append(f"millrace_{name}_{uuid.uuid4().hex}")
+        columns = [key] if name == "customer" else [key, "o_orderkey"]
+        table(spark, d, name).select(*columns).write.bucketBy(8, key).sortBy(key).option("path", _scratch(spark)).saveAsTable(names[-1])
+    c, o = (spark.table(n) for n in names)
+    return c.join(o.hint("merge"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey")
 
 
 @query("SELECT i::BIGINT AS id, (i * i)::BIGINT AS square FROM range(100) t(i)")
