@@ -7,16 +7,23 @@ alone, so codes are unpacked as bit matrices; string lengths follow code by code
 once, and samples by pointer doubling, since a table entry is a stretch of the frame's own output.
 Other streams are decoded one by one. Encoding runs the dictionary search in step over many frames.
 
-A payload is UTF-8 text padded with bytes 255 to frames of 24 x 24 samples; the palette is the ramp
-of 256 greys, so a sample's index is its grey level and the composited picture is the payload.
+A payload is UTF-8 text padded with bytes 255 to frames of 24 x 24 samples; the red level of what a
+frame shows is the payload. Frames are stored as an animation is: samples equal to what the canvas
+shows already are transparent (byte 192 marks them, which no UTF-8 text holds), the canvas is kept,
+given back or cleared after a frame by a fixed rule of its number, and every eighth frame has a local
+palette in another order. The payload is read back from the composited pictures.
 
 Null text is the empty text (one frame of 255). Equal texts give equal bytes. Repeated rows and
-null ids are handled row by row; an empty table gives no rows. A file that is no GIF raises an error.
+null ids are handled row by row; an empty table gives no rows. A null `gif` gives nulls; a file that
+is no GIF, is cut off, or would show 2 GB or more gives nulls and the reason in `error`.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import bound_batches, by_bytes, table
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -34,6 +41,8 @@ SLOTS = 2048  # of a frame's dictionary; a frame adds under 576 entries
 STEP = 255  # codes of 9 bits after a clear code
 BINS = 16
 CLEAR, END = 256, 257
+UNSEEN = 192  # a byte that is in no UTF-8 text
+KEEP, BACK, RESTORE = 1, 2, 3  # disposal: leave the frame, clear it, go back to what was before
 
 
 # ---- LZW, many frames in step
@@ -163,13 +172,34 @@ def lzw_decode(data: bytes, min_size: int, n: int) -> bytes:
 # ---- the container
 
 
+@functools.cache
+def colours(shift: int = 0) -> bytes:
+    """A palette whose index i has the red level i + shift, modulo 256; green and blue follow from red."""
+    return bytes(x for i in range(256) for v in [(i + shift) % 256] for x in (v, (7 * v + 85) % 256, 255 - v))
+
+
+def _rule(j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the frames numbered j in their files: disposal, palette's shift, and how many frames back the canvas shows (0: none)."""
+    disposal = np.where(j % 8 == 3, RESTORE, np.where(j % 8 == 6, BACK, KEEP))
+    back = np.where((j == 0) | (j % 8 == 7), 0, np.where(j % 8 == 4, 2, 1))
+    return disposal, np.where(j % 8 == 1, 128, 0), back
+
+
+def store_frames(x: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Colour indices of payload frames x, the j-th of their files, which follow each other."""
+    _, shift, back = _rule(j)
+    same = (x == x[np.arange(len(x)) - back]) & (back > 0)[:, None]
+    return ((np.where(same, UNSEEN, x).astype(np.int64) - shift[:, None]) % 256).astype(np.uint8)
+
+
 def gif_file(streams: list[bytes], side: int = SIDE, delay: int = DELAY_CS) -> bytes:
-    """A GIF of one frame for each code stream, all of them full and opaque, with the ramp of greys."""
-    ramp = bytes(v for v in range(256) for _ in range(3))
-    parts = [b"GIF89a", struct.pack("<HHBBB", side, side, 0xF7, 0, 0), ramp]
-    frame = b"\x21\xf9\x04\x04" + struct.pack("<H", delay) + b"\0\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, side, side, 0) + b"\x08"
-    for s in streams:
-        parts.append(frame)
+    """A GIF of one full frame for each code stream, with the disposal, palettes and transparency of the rule."""
+    parts = [b"GIF89a", struct.pack("<HHBBB", side, side, 0xF7, 0, 0), colours()]
+    rules = zip(*(r.tolist() for r in _rule(np.arange(len(streams)))), strict=True)
+    box = b"\x2c" + struct.pack("<HHHH", 0, 0, side, side)
+    for s, (disposal, shift, back) in zip(streams, rules, strict=True):
+        parts.append(b"\x21\xf9\x04" + struct.pack("<BHBB", disposal << 2 | (back > 0), delay, (UNSEEN - shift) % 256, 0) + box)
+        parts.append(b"\x87" + colours(shift) + b"\x08" if shift else b"\0\x08")
         for lo in range(0, len(s), 255):
             piece = s[lo : lo + 255]
             parts.append(bytes([len(piece)]))
@@ -218,25 +248,29 @@ def parse(gif: bytes) -> dict:
     return {"size": (width, height), "background": background, "palette": shared, "images": images}
 
 
-def _samples(images: list[dict]) -> None:
-    """Adds `samples`, the colour indices, to each image."""
-    alike = [i for i in images if i["min_size"] == 8 and i["box"][2:] == (SIDE, SIDE)]
+def _samples(gifs: list[dict]) -> None:
+    """Adds `samples`, the colour indices, to each image; a file with a broken code stream gets an `error`."""
+    alike = [i for g in gifs for i in g["images"] if i["min_size"] == 8 and i["box"][2:] == (SIDE, SIDE)]
     for lo in range(0, len(alike), BLOCK):
         part = alike[lo : lo + BLOCK]
         got = lzw_decode_many([i["stream"] for i in part], FRAME)
         if got is not None:
             for i, s in zip(part, got, strict=True):
                 i["samples"] = s
-    for i in images:
-        if "samples" not in i:
-            w, h = i["box"][2:]
-            s = np.frombuffer(lzw_decode(i["stream"], i["min_size"], w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
-            if i["interlaced"]:
-                rows = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
-                straight = np.empty_like(s)
-                straight[rows] = s
-                s = straight
-            i["samples"] = s.ravel()
+    for g in gifs:
+        try:
+            for i in g["images"]:
+                if "samples" not in i:
+                    w, h = i["box"][2:]
+                    i["samples"] = np.frombuffer(lzw_decode(i["stream"], i["min_size"], w * h).ljust(w * h, b"\0"), np.uint8)
+                if i["interlaced"]:
+                    w, h = i["box"][2:]
+                    rows = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
+                    straight = np.empty((h, w), np.uint8)
+                    straight[rows] = i["samples"].reshape(h, w)
+                    i["samples"] = straight.ravel()
+        except (IndexError, ValueError) as broken:
+            g["error"] = f"broken code stream: {broken}"
 
 
 def composite(gif: dict) -> np.ndarray:
@@ -260,82 +294,120 @@ def composite(gif: dict) -> np.ndarray:
     return np.array(shown, np.uint8).reshape(-1, height, width, 3)
 
 
-def decode(files: list[bytes]) -> list[tuple[list[int], np.ndarray]]:
-    """Per file the frames' delays in milliseconds and their RGB pictures."""
-    gifs = [parse(f) for f in files]
-    _samples([i for g in gifs for i in g["images"]])
-    ramp = bytes(v for v in range(256) for _ in range(3))
-    out = []
+def composite_many(gifs: list[dict]) -> list[np.ndarray]:
+    """The same for files of one size whose images all cover the canvas: the n-th frames of all at once."""
+    width, height = gifs[0]["size"]
+    n = width * height
+    order = sorted(range(len(gifs)), key=lambda f: -len(gifs[f]["images"]))
+    counts = np.array([len(gifs[f]["images"]) for f in order])
+    out = [np.empty((len(g["images"]), n, 3), np.uint8) for g in gifs]
+    names: dict[bytes, int] = {}
     for g in gifs:
-        images = g["images"]
-        if g["palette"] == ramp and all(i["palette"] == ramp and i["transparent"] is None and i["box"] == (0, 0, *g["size"]) for i in images):
-            grey = np.array([i["samples"] for i in images], np.uint8).reshape(-1, g["size"][1], g["size"][0], 1)
-            frames = np.broadcast_to(grey, (*grey.shape[:3], 3))  # opaque full frames: what is shown is the palette of the samples
-        else:
-            frames = composite(g)
-        out.append(([10 * i["delay"] for i in images], frames))
-    return out
+        for i in g["images"]:
+            i["palette_no"] = names.setdefault(i["palette"] or b"", len(names))
+    flat = np.concatenate([np.frombuffer(p.ljust(768, b"\0"), np.uint8).reshape(-1, 3) for p in names]) if names else np.zeros((0, 3), np.uint8)
+    canvas = np.zeros((len(gifs), n, 3), np.uint8)
+    for j in range(int(counts.max(initial=0))):
+        k = int((counts > j).sum())
+        images = [gifs[f]["images"][j] for f in order[:k]]
+        index = np.stack([i["samples"] for i in images]).astype(np.int32)
+        clear = np.array([-1 if i["transparent"] is None else i["transparent"] for i in images])
+        disposal = np.array([i["disposal"] for i in images])
+        shown = flat[index + 256 * np.array([i["palette_no"] for i in images], np.int32)[:, None]]
+        hidden = index == clear[:, None]
+        shown[hidden] = canvas[:k][hidden]
+        for f, picture in zip(order, shown, strict=False):
+            out[f][j] = picture
+        stays = disposal != RESTORE
+        canvas[:k][stays] = shown[stays]
+        canvas[:k][disposal == BACK] = 0
+    return [x.reshape(-1, height, width, 3) for x in out]
+
+
+def decode(files: list[bytes | None]) -> list[dict]:
+    """Per file the frames' delays in milliseconds and their RGB pictures, or an `error` (null for no file)."""
+    gifs = []
+    for f in files:
+        try:
+            g = {"size": (0, 0), "images": [], "error": None} if f is None else parse(f) | {"error": ""}
+            if 3 * g["size"][0] * g["size"][1] * len(g["images"]) >= 1 << 31:
+                raise ValueError("2 GB of pictures or more")
+            gifs.append(g)
+        except (IndexError, ValueError, struct.error) as broken:
+            gifs.append({"images": [], "error": f"no whole GIF: {broken}"})
+    _samples(gifs)
+    alike: dict[tuple, list[int]] = {}
+    for n, g in enumerate(gifs):
+        if g["error"] == "":
+            g["delays"] = [10 * i["delay"] for i in g["images"]]
+            if all(i["box"] == (0, 0, *g["size"]) for i in g["images"]) and all(g["size"]):
+                alike.setdefault(g["size"], []).append(n)
+            else:
+                g["frames"] = composite(g)
+    for group in alike.values():
+        for n, frames in zip(group, composite_many([gifs[n] for n in group]), strict=True):
+            gifs[n]["frames"] = frames
+    return gifs
 
 
 # ---- columns
 
 
-def _small(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose values hold about `most` bytes; a value is never split."""
-    sizes = np.cumsum([len(x) if x is not None else 0 for x in (v.as_py() for v in batch.column(column))])
-    lo = 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + most, "right")))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in _small(batch, "text"):
-            raw = [(x or "").encode("utf-8", "replace") for x in part.column("text").to_pylist()]
-            counts = [max(1, -(-len(r) // FRAME)) for r in raw]
-            joined = np.frombuffer(b"".join(r.ljust(n * FRAME, b"\xff") for r, n in zip(raw, counts, strict=True)), np.uint8).reshape(-1, FRAME)
-            streams = [s for lo in range(0, len(joined), BLOCK) for s in lzw_encode(joined[lo : lo + BLOCK])]
-            at, files = 0, []
-            for n in counts:
-                files.append(gif_file(streams[at : at + n]))
-                at += n
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "gif": pa.array(files, pa.binary())})
+    for part in by_bytes(batches, "text", 4_000_000, 1 << 20):
+        raw = [(x or "").encode("utf-8", "replace") for x in part.column("text").to_pylist()]
+        counts = [max(1, -(-len(r) // FRAME)) for r in raw]
+        joined = np.frombuffer(b"".join(r.ljust(n * FRAME, b"\xff") for r, n in zip(raw, counts, strict=True)), np.uint8).reshape(-1, FRAME)
+        joined = store_frames(joined, np.concatenate([np.arange(n) for n in counts]))
+        streams = [s for lo in range(0, len(joined), BLOCK) for s in lzw_encode(joined[lo : lo + BLOCK])]
+        at, files = 0, []
+        for n in counts:
+            files.append(gif_file(streams[at : at + n]))
+            at += n
+        yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "gif": pa.array(files, pa.binary())})
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in _small(batch, "gif"):
-            out: dict = {"n_frames": [], "delays_ms": [], "grey": [], "histogram": []}
-            for delays, frames in decode(part.column("gif").to_pylist()):
-                out["n_frames"].append(len(delays))
-                out["delays_ms"].append(delays)
-                red = np.ascontiguousarray(frames[..., 0])
-                out["grey"].append(red.tobytes())
-                flat = all(s == 0 for s in frames.strides[3:]) or frames.size == 0
-                counts = [np.bincount((red if flat else frames[..., c]).ravel() >> 4, minlength=BINS) for c in range(1 if flat else 3)]
-                out["histogram"].append(np.concatenate(counts * (3 if flat else 1)).tolist())
-            names = [c for c in part.schema.names]
-            yield pa.record_batch({**{c: part.column(c) for c in names}, "n_frames": pa.array(out["n_frames"], pa.int64()), "delays_ms": pa.array(out["delays_ms"], pa.list_(pa.int64())), "red": pa.array(out["grey"], pa.binary()), "histogram": pa.array(out["histogram"], pa.list_(pa.int64()))})
+    longs = pa.list_(pa.int64())
+    for part in by_bytes(batches, "gif", 2_000_000, 1 << 20):
+        out: dict = {k: [] for k in ("n_frames", "delays_ms", "rgb", "histogram", "error")}
+        for g in decode(part.column("gif").to_pylist()):
+            frames = g.get("frames")
+            out["n_frames"].append(None if frames is None else len(frames))
+            out["delays_ms"].append(None if frames is None else g["delays"])
+            out["rgb"].append(None if frames is None else frames.tobytes())
+            out["histogram"].append(None if frames is None else np.concatenate([np.bincount(frames[..., c].ravel() >> 4, minlength=BINS) for c in range(3)]).tolist())
+            out["error"].append(g["error"] or None)
+        kinds = {"n_frames": pa.int64(), "delays_ms": longs, "rgb": pa.binary(), "histogram": longs, "error": pa.string()}
+        yield pa.record_batch({**{c: part.column(c) for c in part.schema.names}, **{k: pa.array(v, kinds[k]) for k, v in out.items()}})
 
 
 def store_gifs(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and `gif`, the file that holds the text."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_encode_batches, "doc_id long, n_bytes long, gif binary")
 
 
 def gif_columns(files: DataFrame) -> DataFrame:
-    """Adds to a `gif` column: frames' number and delays, the red channel of all frames (of greys: the
-    samples), and a histogram of 16 levels for each colour channel."""
+    """Adds to a `gif` column: frames' number and delays, the RGB samples of all frames as shown, a
+    histogram of 16 levels for each colour channel, and the reason where a file can't be read."""
+    bound_batches(files.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-    return files.mapInArrow(_decode_batches, f"{schema}, n_frames long, delays_ms array<long>, red binary, histogram array<long>")
+    return files.mapInArrow(_decode_batches, f"{schema}, n_frames long, delays_ms array<long>, rgb binary, histogram array<long>, error string")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of gif_columns' rows what op4 returns; the payload is the red channel."""
+    for batch in _decode_batches(batches):
+        rows = []
+        for gif, rgb, n, delays, levels in zip(*(batch.column(c).to_pylist() for c in ("gif", "rgb", "n_frames", "delays_ms", "histogram")), strict=True):
+            red = np.frombuffer(rgb, np.uint8)[::3].tobytes()
+            rows.append((len(red), hashlib.sha256(red).hexdigest(), zlib.crc32(red[-FRAME:]), len(gif), hashlib.sha256(gif).hexdigest(), ";".join([str(n), str(sum(delays)), ",".join(map(str, levels[:BINS]))]), n))
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames")
+        kinds = [pa.string() if "sha" in n or n == "feature" else pa.int64() for n in names]
+        yield pa.record_batch({**{c: batch.column(c) for c in ("doc_id", "n_bytes")}, **{n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(names)}})
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = gif_columns(store_gifs(table(spark, sf_dir, "documents")))
-    red, gif = F.col("red"), F.col("gif")
-    size = F.octet_length(red)
-    feature = F.concat_ws(";", F.col("n_frames").cast("string"), F.aggregate("delays_ms", F.lit(0).cast("long"), lambda a, x: a + x).cast("string"), F.array_join(F.slice("histogram", 1, BINS), ","))
-    return media.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2(red, 256).alias("payload_sha256"), F.crc32(F.substring(red, size - FRAME + 1, F.lit(FRAME))).alias("tail_crc32"), F.octet_length(gif).cast("long").alias("media_bytes"), F.sha2(gif, 256).alias("media_sha256"), feature.alias("feature"), "n_frames")
+    return store_gifs(table(spark, sf_dir, "documents")).mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long")

@@ -98,8 +98,9 @@ def test_language_model_with_one_long_training_text(spark):
 
 def test_language_model_is_normalised():
     pairs = np.random.default_rng(0).poisson(2, (30, 30)).astype(float)
-    logs = lm.log10_table(lm.train(pairs, dim=4, steps=40))
-    assert np.allclose((10**logs).sum(axis=1), 1)
+    scorer = lm.Scorer(lm.train(pairs.astype(np.float32), dim=4, steps=40))
+    before, now = (x.ravel() for x in np.indices((30, 30)))
+    assert np.allclose((10 ** scorer(before, now)).reshape(30, 30).sum(axis=1), 1, atol=1e-5)
 
 
 def test_gif_round_trip(spark, docs):
@@ -129,7 +130,8 @@ def test_gif_disposal_and_transparency():
         return control + b"\x2c" + b"".join(v.to_bytes(2, "little") for v in box) + b"\0\x02" + bytes([len(data)]) + data + b"\0"
 
     gif = b"GIF89a\x02\0\x01\0\x81\0\0" + palette + frame(1, None, (0, 0, 2, 1), [1, 2]) + frame(3, 0, (0, 0, 2, 1), [0, 3]) + frame(2, None, (0, 0, 1, 1), [3]) + frame(1, 0, (0, 0, 2, 1), [0, 0]) + b"\x3b"
-    delays, frames = media.decode([gif])[0]
+    got = media.decode([gif])[0]
+    delays, frames = got["delays"], got["frames"]
     red, green, blue, black = [255, 0, 0], [0, 255, 0], [0, 0, 255], [0, 0, 0]
     assert delays == [50] * 4 and frames[:, 0].tolist() == [[red, green], [red, blue], [blue, green], [black, green]]
 
