@@ -1,20 +1,24 @@
 """Exact top-k inner products: ball-tree branch and bound per shard.
 
-Components become integers floor(256 * x). Vectors are dealt to shards of about `shard` rows by a
-hash of their id, queries to blocks of about `block`; a cell is one shard with one block, so no
-task holds more than that. In a cell the shard's vectors form a ball tree (halves by projection on
-the line between two far points); nodes are visited in order of the inner-product bound
-q . centre + |q| * radius, and a node is opened only for queries whose kth score it can reach.
+Components become integers floor(256 * x). Vectors are dealt to the nearest of some pivots (a bounded
+sample of the vectors: one for every `per_pivot`, `pivots` at most) and there to shards by a hash of
+their id; a pivot with the radius of its vectors is a ball. Each query first searches one shard of
+the pivot with which its product is greatest. The kth score found there is shared: no query's final
+kth score can be lower, so the query is sent only to shards of balls whose bound
+q . centre + |q| * radius reaches it. Vectors are never copied; copies of queries are what bounds leave.
 
-The kth score is shared: each query first searches one shard, and that shard's kth score is where
-the pruning in all the others starts, as no query's final kth score can be lower.
+A task sorts its shards so that a shard's vectors come before its queries: it holds one shard, its
+tree, and one batch of queries. The tree halves vectors by projection on the line between two far
+points; nodes are visited in order of the same bound, and a node is opened only for queries whose
+kth score it can reach.
 
 Equal scores go to the smaller id, so nodes that can only tie are opened. Of equal vectors in a
 shard only the k + 1 smallest distinct ids can be results, and k rows of each (a query's own id
-gives none); the others are left out of the tree. Null
+gives none); the others are left out, repeated rows by a grouped count before any are dealt. Null
 vectors, and those with null or non-finite components, take no part, nor do null ids. A shorter
 vector counts as padded with zeros. Repeated rows of one id count as candidates each, but never
-for their own query id. Scores beyond 64 bits raise an error. Empty tables give no rows.
+for their own query id. Scores are exact to 64 bits: where doubles would not be, integers are
+multiplied; a score beyond 64 bits raises an error. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,9 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from millrace.llm.common import materialise, table
+from millrace.llm.common import bound_batches, materialise, table
 
 LEAF = 64
+PLAIN = 2.0**20  # components under this give exact double products up to WIDE of them
+WIDE = 1 << 13
+NONE = np.iinfo(np.int64).min
 
 
 class BallTree:
@@ -98,53 +105,174 @@ class BallTree:
         return best, names
 
 
-def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Rows floor(256 * x) of a list column, padded with zeros."""
     flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.zeros((len(sizes), width))
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
     if flat.size:
+        flat = np.floor(256 * flat)
+        if np.abs(flat).max() >= 2.0**63:
+            raise OverflowError("a component is beyond 64 bits")
         out[np.repeat(np.arange(len(sizes)), sizes), np.arange(flat.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
 
-def _cell(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
-    width = max(int(max((a.value_lengths().to_numpy(zero_copy_only=False).max(initial=0) for t in (left, right) for a in t["vec"].chunks), default=0)), 1)
-    parts = [[_matrix(c, width) for c in t["vec"].chunks] or [np.zeros((0, width))] for t in (left, right)]
-    x, q = (np.concatenate(p) for p in parts)
-    if len(x) and len(q) and np.abs(x).max() * np.abs(q).max() * width >= 2.0**53:
-        raise ValueError("components are too large for exact scores")
-    own, rows = right["vec_id"].to_numpy(), right["row"].to_numpy()
-    floor = right["floor"].to_numpy().astype(np.float64)
-    score, ids = BallTree(x, left["vec_id"].to_numpy(), k).search(q, own, floor, k)
-    ok = np.isfinite(score) & (score >= floor[:, None])
-    at = np.nonzero(ok)
-    return pa.table({"row": rows[at[0]], "query_id": own[at[0]], "vec_id": ids[at], "score": score[at].astype(np.int64)})
+def _fit(x: np.ndarray, width: int) -> np.ndarray:
+    return x[:, :width] if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = 4096, block: int = 4096) -> DataFrame:
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, ~score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+
+
+class Shard:
+    """A ball tree over the plain vectors of a shard; those with large components are multiplied as integers."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, k: int):
+        plain = np.abs(x).max(axis=1, initial=0) < PLAIN
+        if x.shape[1] > WIDE:
+            plain[:] = False
+        self.width, self.k = x.shape[1], k
+        self.tree = BallTree(x[plain], ids[plain], k)
+        self.large, self.large_ids = x[~plain], ids[~plain]
+
+    def _whole(self, q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact scores of all pairs, a few queries at a time."""
+        got = []
+        for lo in range(0, len(q), 64):
+            part, mine = q[lo : lo + 64], own[lo : lo + 64]
+            if (np.abs(part @ x.T) >= 2.0**63).any():
+                raise OverflowError("a score is beyond 64 bits")
+            score = part.astype(np.int64) @ x.astype(np.int64).T
+            names = np.broadcast_to(ids, score.shape)
+            got.append(_best(np.where(names == mine[:, None], NONE, score), names, self.k))
+        return tuple(np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros((0, 0), np.int64),) * 2
+
+    def search(self, q: np.ndarray, own: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (NONE where there are fewer) and ids, best first."""
+        q = _fit(q, self.width)
+        plain = (np.abs(q).max(axis=1, initial=0) < PLAIN) & (self.width <= WIDE)
+        score, ids = np.full((len(q), self.k), NONE), np.full((len(q), self.k), np.iinfo(np.int64).max)
+        at = np.flatnonzero(plain)
+        if len(at) and len(self.tree.ids):
+            found, names = self.tree.search(q[at], own[at], np.nextafter(floor[at].astype(np.float64), -np.inf), self.k)
+            real = np.isfinite(found)
+            score[at], ids[at] = np.where(real, np.where(real, found, 0).astype(np.int64), NONE), names
+        for at, x, names in ((np.arange(len(q)), self.large, self.large_ids), (np.flatnonzero(~plain), self.tree.x, self.tree.ids)):
+            if len(at) and len(x):
+                more, who = self._whole(q[at], own[at], x, names)
+                score[at], ids[at] = _best(np.concatenate([score[at], more], axis=1), np.concatenate([ids[at], who], axis=1), self.k)
+        return score, ids
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Upper bounds of the distances to each pivot, and the products with them."""
+    product = _fit(x, pivots.shape[1]) @ pivots.T
+    both = (x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :]
+    return np.sqrt(np.maximum(both - 2 * product, 0) + 1e-12 * both) + 1e-6, product
+
+
+def _assign(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Adds the nearest pivot and the distance to it."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            part = batch.slice(lo, 2048)
+            apart, _ = _distances(_matrix(part.column("e")), pivots)
+            near = apart.argmin(axis=1)
+            yield pa.record_batch({**{c: part.column(c) for c in part.schema.names}, "p": pa.array(near, pa.int32()), "d": pa.array(apart[np.arange(len(near)), near])})
+
+
+def _route(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, radius: np.ndarray, seed: bool) -> Iterator[pa.RecordBatch]:
+    """Adds `ps`: the pivot of the greatest product, or all whose ball can reach the floor."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            part = batch.slice(lo, 2048)
+            q = _matrix(part.column("e"))
+            product = _fit(q, pivots.shape[1]) @ pivots.T
+            if seed:
+                ps = [[int(p)] for p in np.where(radius >= 0, product, -np.inf).argmax(axis=1)]
+            else:
+                norm = np.sqrt((q**2).sum(axis=1))[:, None]
+                bound = product + norm * (radius + 1e-9 * np.sqrt((pivots**2).sum(axis=1)) + 1e-6)
+                ps = [np.flatnonzero(r).tolist() for r in (bound >= part.column("floor").to_numpy().astype(np.float64)[:, None]) & (radius >= 0)]
+            yield pa.record_batch({**{c: part.column(c) for c in part.schema.names}, "ps": pa.array(ps, pa.list_(pa.int32()))})
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of shard and kind: the vectors of a shard (0), then its queries (1)."""
+    now, parts, names, shard = None, [], [], None
+    for batch in batches:
+        s, kind = batch.column("s").to_numpy(), batch.column("kind").to_numpy()
+        edges = np.flatnonzero((np.diff(s) != 0) | (np.diff(kind) != 0)) + 1
+        for lo, hi in zip([0, *edges], [*edges, len(s)], strict=True):
+            if lo == hi:
+                continue
+            if s[lo] != now:
+                now, parts, names, shard = s[lo], [], [], None
+            x, ids = _matrix(batch.column("e").slice(lo, hi - lo)), batch.column("vec_id").to_numpy()[lo:hi]
+            if kind[lo] == 0:
+                parts.append(x)
+                names.append(ids)
+            elif parts:
+                if shard is None:
+                    width = max(p.shape[1] for p in parts)
+                    shard, parts = Shard(np.concatenate([_fit(p, width) for p in parts]), np.concatenate(names), k), [np.zeros((0, 0))]
+                floor, rows = (batch.column(c).slice(lo, hi - lo).to_numpy() for c in ("floor", "row"))
+                score, who = shard.search(x, ids, floor)
+                at = np.nonzero((score != NONE) & (score >= floor[:, None]))
+                yield pa.record_batch({"row": rows[at[0]], "query_id": ids[at[0]], "vec_id": who[at], "score": score[at]})
+
+
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = 1024, most: int = 65_536, pivots: int = 256, per_pivot: int = 2048) -> DataFrame:
     """The k best of `vectors` (vec_id, embedding) for each row of `queries` (same columns), but for its own id.
 
+    shard, most: least and most rows of a shard; between them, as many as give each core two shards.
     Returns query_id, rank, vec_id, score.
     """
 
     def clean(df: DataFrame) -> DataFrame:
-        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"), F.monotonically_increasing_id().alias("row"))
-        fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return df.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & fine).select("vec_id", "row", F.transform("e", lambda x: F.floor(256 * x).cast("long")).alias("vec"))
+        fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+        return df.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e"))
+
+    spark = vectors.sparkSession
+    bound_batches(spark)
+    raw = clean(vectors)
+    kind = dict(raw.dtypes)["e"]
+    n = raw.count()
+    wanted = max(1, min(pivots, n // per_pivot))
+    order = F.xxhash64("vec_id", F.lit(7))
+    # The pivots only decide how well bounds prune, so of an id with very many rows any few will do.
+    sample = raw.filter(order / float(2**64) + 0.5 < (wanted + 8) / max(1, n)).select("e", order.alias("o")).limit(4 * (wanted + 8)).collect() or raw.select("e", order.alias("o")).limit(1).collect()
+    centres = _matrix(pa.array([r["e"] for r in sorted(sample, key=lambda r: r["o"])[:wanted]], pa.list_(pa.float64())))
+    once = raw.groupBy("vec_id", "e").agg(F.count("*").alias("n")).select("vec_id", "e", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int"))).alias("copy")).drop("copy")
+    v = materialise(once.mapInArrow(lambda it: _assign(it, centres), f"vec_id long, e {kind}, p int, d double") if n else once.withColumn("p", F.lit(0)).withColumn("d", F.lit(0.0)), "topk-vectors")
+    rows = max(shard, min(most, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    radius, subs = np.full(max(1, len(centres)), -1.0), np.zeros(max(1, len(centres)), np.int64)
+    for r in v.groupBy("p").agg(F.max("d").alias("d"), F.count("*").alias("n")).collect():
+        radius[r["p"]], subs[r["p"]] = r["d"], -(-r["n"] // rows)
+    first = np.cumsum(subs) - subs
+    numbers = lambda x: F.array(*[F.lit(int(i)) for i in x])  # noqa: E731  one for each pivot
+    of = lambda x, p: F.element_at(numbers(x), p + 1)
+    deal = lambda p, *c: (of(first, p) + F.pmod(F.xxhash64(*c), of(subs, p))).cast("int")
+    nothing = F.lit(None).cast("long")
+    v = v.select(deal(F.col("p"), "vec_id").alias("s"), F.lit(0).alias("kind"), "vec_id", "e", nothing.alias("row"), nothing.alias("floor"))
+    q = materialise(clean(queries).withColumn("row", F.monotonically_increasing_id()), "topk-queries").withColumn("floor", F.lit(-(2**63) + 1).cast("long"))
 
-    v, q = clean(vectors), clean(queries)
-    shards, blocks = max(1, -(-v.count() // shard)), max(1, -(-q.count() // block))
-    deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", "row", F.lit(seed)), F.lit(n)).cast("int")
-    v = v.withColumn("s", deal(shards, 0)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = q.withColumn("b", deal(blocks, 1)).withColumn("floor", F.lit(-(2**62)))
-    found = "row long, query_id long, vec_id long, score long"
+    def routed(q: DataFrame, seed: bool) -> DataFrame:
+        got = q.mapInArrow(lambda it: _route(it, centres, radius, seed), f"vec_id long, e {kind}, row long, floor long, ps array<int>") if n else q.withColumn("ps", F.array().cast("array<int>"))
+        return got.withColumn("p", F.explode("ps"))
 
     def search(q: DataFrame) -> DataFrame:
-        return v.groupBy("s", "b").cogroup(q.groupBy("s", "b")).applyInArrow(lambda a, b: _cell(a, b, k), found)
+        both = v.unionByName(q.select("s", F.lit(1).alias("kind"), "vec_id", "e", "row", "floor"))
+        return both.repartition("s").sortWithinPartitions("s", "kind").mapInArrow(lambda it: _search(it, k), "row long, query_id long, vec_id long, score long")
 
-    seeds = search(q.withColumn("s", deal(shards, 2)))
-    floors = materialise(seeds.groupBy("row").agg(F.min("score").alias("kth"), F.count("*").alias("n")).filter(F.col("n") == k).select("row", "kth"), "topk-floors")
-    q = q.drop("floor").join(floors, "row", "left").withColumn("floor", F.coalesce("kth", F.lit(-(2**62)))).drop("kth")
-    got = search(q.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
+    seeds = materialise(search(routed(q, True).withColumn("s", deal(F.col("p"), "row"))), "topk-seeds")
+    floors = seeds.groupBy("row").agg(F.min("score").alias("kth"), F.count("*").alias("n")).filter(F.col("n") == k).select("row", "kth")
+    q = q.join(floors, "row", "left").select("vec_id", "e", "row", F.coalesce("kth", "floor").alias("floor"))
+    seeded = routed(q.select("vec_id", "e", "row", "floor"), False)
+    seeded = seeded.withColumn("s", F.explode(F.sequence(of(first, F.col("p")).cast("int"), (of(first, F.col("p")) + of(subs, F.col("p")) - 1).cast("int"))))
+    got = search(seeded)  # the shard that gave the floor as well: its results hold whatever the floor is
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return got.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
