@@ -236,7 +236,7 @@ def open_groups(pairs: DataFrame, members: DataFrame, sets: DataFrame, block: in
     unions: store the blocks' unions and read members only where a candidate passes them.
     """
     size = lambda df, name: df.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    cells = size(pairs, "n_asked").join(size(members, "n_blocks"), "g")
+    cells = materialise(size(pairs, "n_asked").join(size(members, "n_blocks"), "g"), "jac-cells")
     deal = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     key = ("g", "x", "y")
@@ -304,12 +304,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     linked = families.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("rep", "g", F.coalesce("comp", "rep").alias("comp"))
     counts = linked.groupBy("g", "comp").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("parts"))
-    counts = counts.filter("parts > 1").select("g", F.col("m.comp").alias("main"))
+    counts = materialise(counts.filter("parts > 1").select("g", F.col("m.comp").alias("main")), "jac-parts")
     strays = linked.join(counts, "g").filter("comp <> main").select("rep", "g")
 
     post = posted.select("rep", "n", "t").join(families, "rep", "left").select("t", "rep", "n", F.coalesce("g", "rep").alias("g"))
     mixed = materialise(post.groupBy("t").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("t"), "jac-between")
-    sizes = families.groupBy("g").agg(F.count("*").alias("members"))
+    sizes = materialise(families.groupBy("g").agg(F.count("*").alias("members")), "jac-sizes")
     post = materialise(post.join(mixed, "t").join(sizes, "g", "left").withColumn("members", F.coalesce("members", F.lit(1))), "jac-mixed")
     release(posted, mixed)
     need = spare_needed(F.col("n"))
