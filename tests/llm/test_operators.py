@@ -141,7 +141,6 @@ def test_packing_covers_every_id(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
     ids = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for i, x in docs.select("doc_id", "text").collect()}
     got = packing.op5_packing(spark, SMALL).toPandas()
     for r in got.itertuples():
