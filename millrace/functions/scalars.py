@@ -51,7 +51,7 @@ def maps(spark, d):
 
 @query("SELECT a.label, a.vec_id AS q, b.vec_id AS v, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cos FROM embeddings a JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) m ON a.vec_id = m.vec_id JOIN embeddings b ON a.label = b.label")
 def cosine_to_first(spark, d):
-    """Each vector's cosine with the first of its label."""
+    """Each vector's cosine with the first of its label; of rows that repeat the first id, one is the first."""
     e = table(spark, d, "embeddings")
     first = e.groupBy("label").agg(F.min_by(F.struct(F.col("vec_id").alias("q"), F.col("embedding").alias("x")), "vec_id").alias("f")).select("label", "f.q", "f.x")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -118,7 +118,8 @@ def words_with_places(spark, d):
 
 @query("SELECT event_id, json_object('k', (props ->> '$.k')::INT, 'type', event_type)::VARCHAR AS made, (props ->> '$.k') AS k, map_keys(MAP {'a': 1, event_type: 2}) AS names, MAP {'a': 1, event_type: 2}['a'] AS a FROM events")
 def json_and_maps(spark, d):
-    m = F.create_map(F.lit("a"), F.lit(1), F.col("event_type"), F.lit(2))
+    # A map has no null keys: an event without a type has no map.
+    m = F.when(F.col("event_type").isNotNull(), F.create_map(F.lit("a"), F.lit(1), F.col("event_type"), F.lit(2)))
     return table(spark, d, "events").select("event_id", F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("event_type").alias("type"))).alias("made"), F.json_tuple("props", "k").alias("k"), F.map_keys(m).alias("names"), F.element_at(m, "a").alias("a"))
 
 

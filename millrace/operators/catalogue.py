@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators.registering import Queries
+from millrace.operators.relational import text_of
 from millrace.sources.tables import table
 
 query = Queries("cat_")
@@ -23,10 +24,10 @@ def orphans(spark, d):
 
 @query("SELECT text, count(DISTINCT source) AS sources FROM documents GROUP BY text HAVING count(DISTINCT source) >= 3")
 def patterns_in_three_domains(spark, d):
-    """Grouped by a digest; the text is fetched for what is found only."""
-    docs = table(spark, d, "documents")
-    found = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count_distinct("source").alias("sources"), F.min("doc_id").alias("doc_id")).filter("sources >= 3")
-    return found.join(docs.select("doc_id", "text"), "doc_id").select("text", "sources")
+    """Grouped by a digest; the text is fetched for what is found only. Null texts are one group."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", F.sha2("text", 256).alias("digest"))
+    found = docs.groupBy("digest").agg(F.count_distinct("source").alias("sources"), F.min("doc_id").alias("first_id")).filter("sources >= 3")
+    return text_of(found, docs.drop("source"), "first_id").select("text", "sources")
 
 
 @query("SELECT p_name AS name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
@@ -105,7 +106,7 @@ def at_most_one_active(spark, d):
 def missing_profile(spark, d):
     j = table(spark, d, "customer").join(table(spark, d, "orders").filter("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left").withColumn("clerk", F.lit(None).cast("string"))
     fields = {"customers": "c_custkey", "orders": "o_orderkey", "price": "o_totalprice", "clerk": "clerk"}
-    one = j.agg(F.count("*").alias("all"), *[F.count(c).alias(k) for k, c in fields.items()])
+    one = j.agg(F.count("*").alias("all"), *[F.count("*" if k == "customers" else c).alias(k) for k, c in fields.items()])
     return one.unpivot("all", list(fields), "field", "known").select("field", "known", (F.col("all") - F.col("known")).alias("missing"))
 
 

@@ -35,7 +35,14 @@ def pricing_summary(spark, d):
     keys = ["l_returnflag", "l_linestatus"]
     sums = rows.groupBy(*keys).agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"), F.round(F.stddev_samp("l_quantity"), 6).alias("sd"))
     parts = rows.select(*keys, "l_partkey").distinct().groupBy(*keys).agg(F.count("l_partkey").alias("parts"))
-    return sums.join(medians(rows, keys, "l_quantity"), keys).join(parts, keys)
+    return join_alike(join_alike(sums, medians(rows, keys, "l_quantity"), keys), parts, keys)
+
+
+def join_alike(left, right, keys):
+    """A left join on equal keys, null equal to null, with one set of the key columns."""
+    other = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(other, on, "left").drop(*[f"__{k}" for k in keys])
 
 
 def medians(rows, keys, value):
@@ -118,8 +125,9 @@ SELECT c_custkey, big, place FROM (SELECT c_custkey, big, row_number() OVER (ORD
 """)
 def sort_null_placement(spark, d):
     big = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.max("o_totalprice").alias("big"))
-    first = big.orderBy(F.col("big").desc_nulls_first(), "c_custkey").limit(30)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(F.col("big").desc_nulls_first(), "c_custkey")).cast("long"))
+    order = [F.col("big").desc_nulls_first(), F.col("c_custkey").asc_nulls_last()]
+    first = big.orderBy(*order).limit(30)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 @query("""
@@ -127,13 +135,16 @@ WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'),
 SELECT e.event_id, c.click_id, c.ts AS click_ts FROM e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts
 """)
 def join_as_of(spark, d):
-    """Each view's last click by the same user at or before it: one pass over a union ordered by time."""
+    """Each view's last click by the same user at or before it: one pass over a union ordered by time.
+
+    Clicks without user or time match no view; a view without them, or without an id, is kept.
+    """
     e = table(spark, d, "events")
-    views = e.filter("event_type = 'view'").select("user_id", "ts", "event_id", F.lit(None).cast("long").alias("click_id"))
-    clicks = e.filter("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("event_id").alias("click_id")).select("user_id", "ts", F.lit(None).cast("long").alias("event_id"), "click_id")
-    click = F.when(F.col("click_id").isNotNull(), F.struct("click_id", "ts"))
-    w = Window.partitionBy("user_id").orderBy("ts", F.col("click_id").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    return views.union(clicks).withColumn("c", F.last(click, ignorenulls=True).over(w)).filter("event_id is not null").select("event_id", F.col("c.click_id").alias("click_id"), F.col("c.ts").alias("click_ts"))
+    views = e.filter("event_type = 'view'").select("user_id", "ts", "event_id", F.lit(None).cast("long").alias("click_id"), F.lit(True).alias("is_view"))
+    clicks = e.filter("event_type = 'click' and user_id is not null and ts is not null").groupBy("user_id", "ts").agg(F.max("event_id").alias("click_id")).select("user_id", "ts", F.lit(None).cast("long").alias("event_id"), "click_id", F.lit(False).alias("is_view"))
+    click = F.when(~F.col("is_view"), F.struct("click_id", "ts"))
+    w = Window.partitionBy("user_id").orderBy("ts", "is_view").rowsBetween(Window.unboundedPreceding, 0)
+    return views.union(clicks).withColumn("c", F.last(click, ignorenulls=True).over(w)).filter("is_view").select("event_id", F.col("c.click_id").alias("click_id"), F.col("c.ts").alias("click_ts"))
 
 
 @query("""
@@ -181,7 +192,7 @@ def grouping_sets(spark, d):
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id")
 def pivot(spark, d):
-    return table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count("event_id")).fillna(0, ["click", "view"])
+    return table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count(F.lit(1))).fillna(0, ["click", "view"])
 
 
 @query("SELECT p_partkey, unnest(['size', 'price']) AS name, unnest([p_size::DOUBLE, p_retailprice]) AS value FROM part")
@@ -229,10 +240,19 @@ for _name, _op in (("union_all", "UNION ALL"), ("union", "UNION"), ("intersect",
 
 @query("SELECT text, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
 def exact_copies(spark, d):
-    """Texts are grouped by a 256-bit digest; the text is fetched for the first id of each group of copies only."""
-    docs = table(spark, d, "documents")
-    groups = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
-    return groups.join(docs.select(F.col("doc_id").alias("first_id"), "text"), "first_id").select("text", "n", "first_id")
+    """Texts are grouped by a 256-bit digest; the text is fetched for the first id of each group of copies only.
+
+    Null texts are copies of one another; repeated and null ids give a group one row still.
+    """
+    docs = table(spark, d, "documents").select("doc_id", "text", F.sha2("text", 256).alias("digest"))
+    groups = docs.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    return text_of(groups, docs, "first_id").select("text", "n", "first_id")
+
+
+def text_of(groups, docs, first):
+    """Groups, one row for each digest, with the text of a document that has the digest and the group's first id."""
+    found = join_alike(groups, docs.withColumnRenamed("doc_id", first), ["digest", first])
+    return found.groupBy("digest", *[c for c in groups.columns if c != "digest"]).agg(F.any_value("text").alias("text"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 4))::INT < 6554")
@@ -257,7 +277,7 @@ FROM lineitem GROUP BY l_returnflag
 """)
 def aggregates_more(spark, d):
     """skewness here is the population's, times the correction for a sample that the SQL twin has; kurtosis is the excess."""
-    n, x = F.count("*"), F.col("l_extendedprice")
+    n, x = F.count("l_extendedprice"), F.col("l_extendedprice")
     lines = table(spark, d, "lineitem")
     return lines.groupBy("l_returnflag").agg(
         F.round(F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2), 6).alias("skew"), F.round(F.kurtosis(x), 6).alias("kurt"), F.mode("l_linenumber", deterministic=True).alias("mode_line"),

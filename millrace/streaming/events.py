@@ -1,4 +1,7 @@
-"""Structured Streaming over the event table, run to completion with availableNow and read back."""
+"""Structured Streaming over the event table, run to completion with availableNow and read back.
+
+An event without a time is in no window and no session. Events without an id count as repeats of one another.
+"""
 
 from __future__ import annotations
 
@@ -51,7 +54,7 @@ def session_counts(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling(spark, d):
-    return drain(spark, tumbling_counts(closed(spark, d))).filter(F.col("event_type") != END).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    return drain(spark, tumbling_counts(closed(spark, d))).filter(~F.col("event_type").eqNullSafe(END)).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 @query("SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY start")

@@ -23,6 +23,8 @@ def rows_of(frame):
     import pandas as pd
 
     def plain(v):
+        if v is np.ma.masked:
+            return None
         if isinstance(v, (list, tuple, np.ndarray)):
             return tuple(plain(x) for x in v)
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
