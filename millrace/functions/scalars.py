@@ -1,4 +1,4 @@
-"""Scalar function families: string, date, math, array, JSON, vector, text, HTML and dialogue."""
+"""Scalar function families: string, date, math, array, JSON, vector, text, HTML and dialogue; reachability over links."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.registering import Queries
+from millrace.sources.scratch import fresh_path
 from millrace.sources.tables import table
 
 query = Queries()
@@ -162,9 +163,38 @@ def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(h, _TAGS, " "), "[ \\n\\t\\r]+", " ")).alias("body"))
 
 
-@query("WITH RECURSIVE r(root, child, depth) AS (SELECT 1, 1, 0 UNION SELECT root, x, depth + 1 FROM r, (SELECT unnest([2, 3]) AS k), LATERAL (SELECT child * k AS x) WHERE child * k <= 100) SELECT child::INT AS child, min(depth)::INT AS depth FROM r GROUP BY child")
+MOST_HOPS = 6
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages WHERE page_id IS NOT NULL),
+r(page_id, hops) AS (SELECT min(page_id), 0 FROM pages HAVING min(page_id) IS NOT NULL UNION SELECT b.page_id, hops + 1 FROM r JOIN l a ON a.page_id = r.page_id JOIN l b ON b.href = a.href WHERE hops < {MOST_HOPS})
+SELECT page_id, min(hops)::INT AS hops FROM r GROUP BY page_id
+""")
 def reachability(spark, d):
-    return spark.sql("WITH RECURSIVE r(child, depth) AS (SELECT 1, 0 UNION ALL SELECT child * k, depth + 1 FROM r CROSS JOIN (SELECT explode(array(2, 3)) AS k) WHERE child * k <= 100) SELECT child, min(depth) AS depth FROM r GROUP BY child")
+    """Pages within MOST_HOPS of the one with the smallest id; pages that hold one link are a hop apart.
+
+    Breadth first from pages to links and back: a link is followed once, so pairs of pages are never made. Each level is
+    written out. Rows without an id are no pages.
+    """
+
+    def written(df, label):
+        path = fresh_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    links = written(page_links(spark, d).filter("page_id is not null").distinct(), "reach-links")
+    start = table(spark, d, "pages").agg(F.min("page_id").alias("page_id")).filter("page_id is not null")
+    level = written(start.withColumn("hops", F.lit(0)), "reach-pages")
+    pages, followed = level, spark.createDataFrame([], "href string")
+    for hop in range(1, MOST_HOPS + 1):
+        if level.isEmpty():
+            break
+        hrefs = written(links.join(level, "page_id").select("href").distinct().join(followed, "href", "left_anti"), "reach-hrefs")
+        level = links.join(hrefs, "href").select("page_id").distinct().join(pages, "page_id", "left_anti")
+        level = written(level.withColumn("hops", F.lit(hop)), "reach-pages")
+        pages, followed = pages.union(level), followed.union(hrefs)
+    return pages
 
 
 QUERIES, SQL = query.queries, query.sql
