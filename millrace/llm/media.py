@@ -35,6 +35,7 @@ from millrace.llm.common import bound_batches, by_bytes, table
 
 SIDE = 24
 FRAME = SIDE * SIDE
+TAIL = 32  # bytes of a payload that tail_crc32 covers
 DELAY_CS = 10
 BLOCK = 1024  # frames coded in step
 SLOTS = 2048  # of a frame's dictionary; a frame adds under 576 entries
@@ -403,7 +404,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for gif, rgb, n, delays, levels in zip(*(batch.column(c).to_pylist() for c in ("gif", "rgb", "n_frames", "delays_ms", "histogram")), strict=True):
             red = np.frombuffer(rgb, np.uint8)[::3].tobytes()
-            rows.append((len(red), hashlib.sha256(red).hexdigest(), zlib.crc32(red[-FRAME:]), len(gif), hashlib.sha256(gif).hexdigest(), ";".join([str(n), str(sum(delays)), ",".join(map(str, levels[:BINS]))]), n))
+            rows.append((len(red), hashlib.sha256(red).hexdigest(), zlib.crc32(red[-TAIL:]), len(gif), hashlib.sha256(gif).hexdigest(), ";".join([str(n), str(sum(delays)), ",".join(map(str, levels[:BINS]))]), n))
         names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames")
         kinds = [pa.string() if "sha" in n or n == "feature" else pa.int64() for n in names]
         yield pa.record_batch({**{c: batch.column(c) for c in ("doc_id", "n_bytes")}, **{n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(names)}})

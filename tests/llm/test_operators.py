@@ -110,6 +110,21 @@ def test_gif_round_trip(spark, docs):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-576:]) and r["n_bytes"] == len(raw)
 
 
+def test_gif_digests_of_odd_texts(spark, tmp_path):
+    """The contract's exact columns; the tail is the payload's last 32 bytes."""
+    texts = [None, "", "a", "\0", "a" * 544, "a" * 545, "a" * 575, "a" * 576, "a" * 577, "é" * 288, "é" * 289, "😀" * 3000, "".join(map(chr, range(33, 127))) * 100, "x " * 300_000]
+    ids = [None, *range(len(texts) - 2), 0]
+    spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"]
+    want = []
+    for i, t in zip(ids, texts, strict=True):
+        raw = (t or "").encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 576)) * 576, b"\xff")
+        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
+    got = media.op4_media(spark, str(tmp_path)).select(columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_gif_streams_decode_one_by_one_and_in_step():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.integers(0, 256, (5, 576)), rng.integers(0, 3, (5, 576)), np.zeros((2, 576), int)]).astype(np.uint8)
